@@ -71,8 +71,8 @@ def as_text(s: Column) -> Column:
 
 def from_text(s: Column) -> Column:
     width = BITS // 4
-    at = F.sequence(F.lit(0), F.length(s) / width - 1)
-    return F.when(F.length(s) == 0, F.array().cast(LONGS)).otherwise(F.transform(at.cast("array<int>"), lambda i: F.conv(F.substring(s, i * width + 1, F.lit(width)), 16, 10).cast("long")))
+    at = F.sequence(F.lit(0), (F.length(s) / width).cast("int") - 1)
+    return F.when(F.length(s) == 0, F.array().cast(LONGS)).otherwise(F.transform(at, lambda i: F.conv(F.substring(s, i * width + 1, F.lit(width)), 16, 10).cast("long")))
 
 
 def with_next(docs: DataFrame, target: int = 8 << 20) -> DataFrame:

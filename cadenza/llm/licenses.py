@@ -89,7 +89,9 @@ def scanned(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     found = F.filter(F.transform(F.filter(sentences(text), lambda s: s.rlike(cue)), lambda s: F.try_element_at(table_of, normalised(s))), lambda x: x.isNotNull())
-    out = docs.withColumn("license_sentences", F.when(text.rlike(cue), found).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    # in a generator of one row: no filter on the results is pushed below it, where it would scan again
+    out = docs.select("*", F.explode(F.array(F.when(text.rlike(cue), found).otherwise(none))).alias("license_sentences"))
 
     def holds(ids: tuple[str, ...]) -> Column:
         seq = F.col("license_sentences")
@@ -99,7 +101,6 @@ def scanned(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) ->
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(holds(ids), F.lit(name)) for name, ids in rules])))
     for name, hidden in HIDES.items():
         hits = let(hits, _hiding(name, hidden))
-    none = F.array().cast("array<string>")
     return out.withColumn("licenses", F.when(F.size("license_sentences") == 0, none).otherwise(hits)).withColumn("license", F.get("licenses", F.lit(0)))
 
 

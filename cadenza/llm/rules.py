@@ -100,10 +100,10 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A null text is measured as an empty one. Columns of docs with the name of a measure are replaced. Rows are kept as they
     are, repeated ones too; an empty table gives an empty table.
     """
-    plain = docs.drop(*MEASURES, "failed_bits", "__w")
+    plain = docs.drop(*MEASURES, "failed_bits")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = plain.withColumn("__w", words("text"))
-    one = split.withColumns({n: f(F.col("__w"), text).cast("long") for n, f in MEASURES.items()}).drop("__w")
+    # measured in a generator of one row: no filter on the results is pushed below it, where it would measure again
+    one = plain.select("*", F.inline(F.transform(F.array(words("text")), lambda w: F.struct(*[f(w, text).cast("long").alias(n) for n, f in MEASURES.items()]))))
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
     total = bits[0]
     for b in bits[1:]:
