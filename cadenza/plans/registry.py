@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import temporal
+from cadenza.plans import reliability, temporal
 
-MODULES = (temporal,)
+MODULES = (temporal, reliability)
 
 
 def queries() -> dict:
