@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import reliability, temporal
+from cadenza.plans import reliability, temporal, vectors
 
-MODULES = (temporal, reliability)
+MODULES = (temporal, reliability, vectors)
 
 
 def queries() -> dict:
