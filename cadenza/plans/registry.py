@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import reliability, temporal, vectors
+from cadenza.plans import relations, reliability, state, temporal, vectors
 
-MODULES = (temporal, reliability, vectors)
+MODULES = (temporal, relations, reliability, vectors, state)
 
 
 def queries() -> dict:
