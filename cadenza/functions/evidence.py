@@ -26,7 +26,7 @@ _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 
 
 def lgamma(x):
-    return _LGAMMA(np.asarray(x, float)).astype(float)
+    return np.asarray(_LGAMMA(np.asarray(x, float)), float)
 
 
 def _fraction(x, a, b, steps: int = 300):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import relations, reliability, state, temporal, vectors
+from cadenza.plans import relations, reliability, state, streams, temporal, vectors
 
-MODULES = (temporal, relations, reliability, vectors, state)
+MODULES = (temporal, relations, reliability, vectors, state, streams)
 
 
 def queries() -> dict:

@@ -284,7 +284,7 @@ rn AS (SELECT *, sum(seen) OVER (PARTITION BY lane, kind ORDER BY days, seen, fo
 SELECT lane, kind, min(days)::DOUBLE AS median_days FROM rn WHERE run >= total / 2 - 1e-12 GROUP BY lane, kind""",
     "class_common_interval": _with(DAYS_SQL) + "SELECT lane, kind, quantile_disc(gap, 0.5)::DOUBLE AS common_days FROM (SELECT lane, kind, date_diff('day', lag(day) OVER (PARTITION BY lane, kind ORDER BY day), day) AS gap FROM days) WHERE gap IS NOT NULL GROUP BY lane, kind",
     "effective_gaps": _with(DAYS_SQL, PIECES_SQL)
-    + """SELECT * FROM (SELECT lane, kind, CAST(start AS VARCHAR) AS start, CAST(day AS VARCHAR) AS "end", round((SELECT sum(share) FROM shares s WHERE s.lane = x.lane AND s.day > x.start AND s.day <= x.day), 5) AS length, \"natural\" = 0 AS censored
+    + """SELECT * FROM (SELECT lane, kind, CAST(start AS VARCHAR) AS start, CAST(day AS VARCHAR) AS "end", round((SELECT sum(share) FROM shares s WHERE s.lane = x.lane AND s.day > x.start AND s.day <= x.day), 9) AS length, \"natural\" = 0 AS censored
 FROM (SELECT *, lag(day) OVER (PARTITION BY lane, kind ORDER BY day) AS start FROM days) x) WHERE start IS NOT NULL""",
     "visit_gap_summary": f"WITH {GAPS} SELECT lane, count(*) AS count, max(length) AS longest, median(length) AS typical FROM og WHERE NOT censored GROUP BY lane",
     "visit_long_absences": f"""WITH {GAPS}, h AS (SELECT *, count(CASE WHEN NOT censored THEN length END) OVER w AS n, max(CASE WHEN NOT censored THEN length END) OVER w AS longest, median(CASE WHEN NOT censored THEN length END) OVER w AS typical FROM og
