@@ -53,6 +53,7 @@ MEASURES = {
     "n_dup_lines": lambda w, text: let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
     "n_repeat_words": lambda w, text: _repeat_words(w),
     "n_shouted": lambda w, text: F.length(text) - F.length(F.translate(text, "!", "")),
+    "n_stuttered": lambda w, text: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))),
 }
 
 
@@ -73,9 +74,10 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbols", "100 * n_symbols > 20 * n_words"),
-    Rule(3, "repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 40 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule(5, "shouting", "100 * n_shouted > 30 * n_words"),
+    Rule(6, "stuttering", "100 * n_stuttered > 30 * n_words"),
 )
 
 
@@ -154,10 +156,11 @@ c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM d, (SELECT unn
 m AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-        length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouted FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouted,
+        len(list_filter(range(2, len(w.w) + 1), lambda i: w.w[i] = w.w[i - 1])) AS n_stuttered FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT
-        + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
-        + 32 * (100 * n_shouted > 30 * n_words)::INT AS BIGINT) AS failed_bits FROM m)
+        + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+        + 32 * (100 * n_shouted > 30 * n_words)::INT + 64 * (100 * n_stuttered > 30 * n_words)::INT AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
