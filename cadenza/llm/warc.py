@@ -128,7 +128,8 @@ def serialised(headers: str = "headers", block: str = "block") -> Column:
 
 def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """One file of records a partition at path. Blocks must be UTF-8, as those of this module are."""
-    records.select(F.decode(serialised(), "UTF-8").alias("value")).write.option("lineSep", "").option("compression", compression).mode("overwrite").text(path)
+    text = F.decode(serialised(), "UTF-8")  # its last byte is the writer's line end
+    records.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", compression).mode("overwrite").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
