@@ -83,9 +83,7 @@ def scanned(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) ->
     """
     docs = docs.drop("license_sentences", "licenses", "license")
     cue = "(?i)licen|permi|copyright|redistrib|software|warranty|compliance"
-    spark = docs.sparkSession
-    plain = {r["id"]: r["s"] for r in spark.createDataFrame([(i, s) for i, s in known.items()], "id string, s string").select("id", normalised(F.col("s")).alias("s")).collect()}
-    table_of = F.create_map(*[x for i, s in plain.items() for x in (F.lit(s), F.lit(i))])
+    table_of = F.create_map(*[x for i, s in known.items() for x in (normalised(F.lit(s)), F.lit(i))])  # folded to one literal
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     found = F.filter(F.transform(F.filter(sentences(text), lambda s: s.rlike(cue)), lambda s: F.try_element_at(table_of, normalised(s))), lambda x: x.isNotNull())
