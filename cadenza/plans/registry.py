@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import foresight, relations, reliability, state, streams, temporal, vectors
+from cadenza.plans import foresight, relations, reliability, state, streams, temporal, triggers, vectors
 
-MODULES = (temporal, foresight, relations, reliability, vectors, state, streams)
+MODULES = (temporal, foresight, relations, reliability, vectors, state, streams, triggers)
 
 
 def queries() -> dict:

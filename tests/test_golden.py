@@ -205,3 +205,42 @@ def test_too_many_queries_are_refused(spark):
     q = spark.range(5).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("qvec"))
     with pytest.raises(ValueError, match="blocks"):
         vectors.search_many(t, q, 1, max_queries=3)
+
+
+def test_tables_agree_with_counting():
+    import itertools
+
+    tables = [([1, 1, 0], [0, 1, 0, 0]), ([1], [0, 0]), ([], [1])]
+    counts = [[sum(c) for c in itertools.combinations(t + c, len(t))] for t, c in tables[:2]]
+    sums = [a + b for a in counts[0] for b in counts[1]]
+    up, low, least = S.table_tails(tables)
+    assert up == pytest.approx(sum(s >= 3 for s in sums) / len(sums)) and low == pytest.approx(sum(s <= 3 for s in sums) / len(sums))
+    assert least <= 2 * min(up, low) and S.table_tails([([], [1])]) == (1.0, 1.0, 1.0)
+
+
+def test_unit_length():
+    noise = [[random.Random(seed * 1000 + i).randrange(2) for i in range(200)] for seed in range(31)]
+    assert sorted(S.unit_length(x, [False] * 200) for x in noise)[15] == 1
+    assert S.unit_length([i // 10 % 2 for i in range(200)], [False] * 200) > 2
+    assert S.unit_length([None] * 5, [False] * 5) == 1
+
+
+def test_relation_states(spark):
+    from cadenza.operators import triggers
+
+    rows = [(1, 1, False, False, None, None), (1, 2, True, False, None, None), (1, 3, True, True, None, None), (1, 4, True, True, None, None), (1, 5, True, True, True, None), (1, 6, True, True, None, False), (1, 7, True, True, None, None), (1, 8, True, False, None, False), (1, 9, True, True, None, None)]
+    df = spark.createDataFrame(rows, "lane int, night int, tested boolean, significant boolean, forward boolean, kept boolean")
+    got = [r["status"] for r in triggers.relation_states(df, ["lane"]).orderBy("night").collect()]
+    assert got == ["sparse", "tested", "candidate", "candidate", "established", "established", "established", "expired", "candidate"]
+
+
+def test_weekly_act_is_expected_on_the_seventh_day(spark):
+    from cadenza.operators import triggers
+
+    days = spark.createDataFrame([(1, "a", 100 + 7 * i, (100 + 7 * i) * T.DAY_US + (600 + i) * MIN) for i in range(5)], "lane long, kind string, day_no int, natural_us long")
+    iv = spark.createDataFrame([(1, "a", 100 + 7 * i, 7, 1.0, False) for i in range(1, 5)], "lane long, kind string, following_no int, days int, seen double, censored boolean")
+    assert triggers.day_expectations(days, iv, 130).count() == 0
+    (r,) = triggers.day_expectations(days, iv, 135).collect()
+    assert (r["elapsed"], r["opened"], r["hits"]) == (7, 7, 4) and (r["start_us"], r["end_us"]) == (135 * T.DAY_US + 601 * MIN, 135 * T.DAY_US + 604 * MIN)
+    (late,) = triggers.day_expectations(days, iv, 142).collect()
+    assert late["elapsed"] == 14 and late["hits"] == 4
