@@ -75,21 +75,33 @@ def from_text(s: Column) -> Column:
     return F.when(F.length(s) == 0, F.array().cast(LONGS)).otherwise(F.transform(at, lambda i: F.conv(F.substring(s, i * width + 1, F.lit(width)), 16, 10).cast("long")))
 
 
-def with_next(docs: DataFrame, target: int = 8 << 20) -> DataFrame:
+def _reached(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending bounds are at most x, by binary search over one folded literal."""
+    all_ = F.split(F.lit(",".join(map(str, bounds))), ",").cast(LONGS)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        up = F.get(all_, mid) <= x
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+
+
+def with_next(docs: DataFrame, target: int = 2 << 20) -> DataFrame:
     """docs (doc_id, text; null texts as empty) with next_text, that of the next row by descending doc_id (ties: descending
     text; null ids last), the first's after the last.
 
     doc_id ranges of about `target` bytes are ordered each for itself; each range's last row takes the first row of the next
     range that has rows, of which there is one a range. Texts are shuffled once."""
     _, size = text_bytes(docs)
-    parts = max(1, min(-(-size // target), 5000))
+    parts = max(1, min(-(-size // target), 100_000))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cuts = []
     if parts > 1:
-        cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 100_000).alias("c")).first()["c"] or []
-        bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))])
-        part = F.coalesce(-F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(1))
-    else:
-        part = F.lit(0)
+        shares = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
+        cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts)).alias("c")).first()["c"] or []
+    part = F.coalesce(-_reached(sorted(set(cuts)), F.col("doc_id")), F.lit(1)) if cuts else F.lit(0)
     docs = docs.withColumn("part", part)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
     w = Window.partitionBy("part").orderBy(*order)
