@@ -22,6 +22,8 @@ from ._text import Words, mix
 U = np.uint64
 BITS = 18
 SAMPLE = 3000
+BLOCK_BITS = 6
+FEW = 1_000_000
 
 
 def _shapes(data: bytes) -> bytes:
@@ -47,31 +49,38 @@ def _raw(b: pa.RecordBatch) -> list[bytes]:
 
 
 def counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """How many rows (text, label) of each class hold each feature: feature, positive, negative. Summed in each task first,
-    and 2**bits rows leave a task at most."""
+    """How many rows (text, label) of each class hold each feature: per block of features (block) the numbers of the negative
+    and of the positive rows (held: 64-bit, one class after the other). Each task sums first and sends one row a block."""
+    width = 1 << max(0, bits - BLOCK_BITS)
+    schema = "block int, held binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), np.int64)
+        total = np.zeros((2, 1 << bits), np.int32)
         for b in batches:
-            for f, y in zip(features(_raw(b), bits), b["label"].to_pylist(), strict=True):
-                total[int(y), f] += 1
-        at = np.flatnonzero(total.sum(axis=0))
-        for i in range(0, len(at), 50_000):
-            k = at[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"feature": k.astype(np.int32), "positive": total[1, k], "negative": total[0, k]})
+            for i in range(0, b.num_rows, 1000):
+                c = b.slice(i, 1000)
+                for f, y in zip(features(_raw(c), bits), c["label"].to_pylist(), strict=True):
+                    total[int(y), f] += 1
+        if total.any():
+            blocks = range((1 << bits) // width)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "held": pa.array([total[:, i * width : (i + 1) * width].tobytes() for i in blocks], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t.column("held"))
+        return pa.table({"block": t.column("block")[:1], "held": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(run, "feature int, positive long, negative long")
-    return parts.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    return rows.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema)
 
 
 def ratios(count: DataFrame, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
     """Log-count ratio of each feature: a vector of 2**bits numbers, whatever the corpus."""
-    pos, neg = np.full(1 << bits, alpha), np.full(1 << bits, alpha)
+    width = 1 << max(0, bits - BLOCK_BITS)
+    held = np.full((2, 1 << bits), alpha)
     got = count.toArrow()
-    at = got.column("feature").to_numpy()
-    pos[at] += got.column("positive").to_numpy()
-    neg[at] += got.column("negative").to_numpy()
-    return (np.log(pos / pos.sum()) - np.log(neg / neg.sum())).astype(np.float32)
+    for block, x in zip(got.column("block").to_pylist(), got.column("held").to_pylist(), strict=True):
+        held[:, block * width : (block + 1) * width] += np.frombuffer(x, np.int64).reshape(2, width)
+    share = np.log(held / held.sum(axis=1, keepdims=True))
+    return (share[1] - share[0]).astype(np.float32)
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 0.1, epochs: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -123,22 +132,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -30, 30)))
 
 
-def trained(rows: DataFrame, bits: int = BITS, sample: int = SAMPLE, folds: int = 4, seed: int = 1) -> Model:
-    """A model of rows (doc_id, text, label 0 or 1, null labels left out). Log-count ratios are over all rows; the hinge model
-    is fitted on at most `sample` rows of each class, those of least hash of (doc_id, text), so runs agree. With rows of one
-    class or none, the score is that class's part of all, one half without rows."""
-    rows = rows.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    r = ratios(counts(rows.select("text", "label"), bits), bits)
-    picked = []
-    for y in (0, 1):
-        least = rows.where(F.col("label") == y).select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(sample)
+def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, folds: int = 4, seed: int = 1) -> Model:
+    """A model of docs (doc_id, text) by labels (doc_id, label 0 or 1; rows with a null left out). Log-count ratios are over all
+    labelled rows; the hinge model is fitted on those of at most `sample` labels of each class, of least hash of doc_id, so
+    runs agree. With rows of one class or none, the score is that class's part of all, one half without rows.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_pydict({"f": pa.array([f.tobytes() for f in features(_raw(b), bits)], pa.binary()), "h": b["h"]})
+    Up to FEW labels are broadcast to the documents; beyond, both are shuffled by doc_id, once."""
+    docs = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    labels = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    few = labels.limit(FEW + 1).count() <= FEW
+    r = ratios(counts(docs.join(F.broadcast(labels) if few else labels, "doc_id").select("text", "label"), bits), bits)
+    order = F.xxhash64("doc_id", F.lit(seed))
+    least = [labels.where(F.col("label") == y).withColumn("h", order).orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"f": pa.array([f.tobytes() for f in features(_raw(b), bits)], pa.binary()), "h": b["h"], "label": b["label"]})
 
-        got = least.select("text", "h").mapInArrow(run, "f binary, h long").toArrow().sort_by("h")
-        picked += [(np.frombuffer(f, np.int32), y) for f in got.column("f").to_pylist()]
+    # 2 * sample labels at most are broadcast; rows beyond twice that come of repeated ids alone
+    got = docs.join(F.broadcast(least[0].unionAll(least[1])), "doc_id").select("text", "h", "label").mapInArrow(run, "f binary, h long, label int").limit(4 * sample).toArrow()
+    picked = sorted(zip(got.column("h").to_pylist(), got.column("label").to_pylist(), got.column("f").to_pylist(), strict=True))
+    picked = [(np.frombuffer(f, np.int32), y) for _, y, f in picked]
     x, y = [f for f, _ in picked], np.array([2 * v - 1 for _, v in picked])
     if len(set(y.tolist())) < 2:
         p = 0.5 if not len(y) else float(y[0] > 0)
@@ -175,6 +189,6 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """The score of every document. Rows whose crc32(doc_id as text) modulo 5 is 0 are held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    train = docs.where(~held).join(labels.where(~held).select("doc_id", F.col("quality").alias("label")), "doc_id")
-    out = scored(docs, trained(train))
+    known = labels.where(~held).select("doc_id", F.col("quality").alias("label"))
+    out = scored(docs, trained(docs, known))
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -289,13 +289,17 @@ def test_op6(spark):
     assert right > 0.95 * len(rows) and auc > 0.97
 
 
-def test_op6_awkward(spark, odd, none):
-    rows = odd.select("doc_id", "text", F.when(F.length("text") > 100, 1).otherwise(0).alias("label"))
-    model = quality.trained(rows)
+def test_op6_awkward(odd, none, monkeypatch):
+    labels = odd.select("doc_id", F.when(F.length("text") > 100, 1).otherwise(0).alias("label")).distinct()
+    model = quality.trained(odd, labels)
+    monkeypatch.setattr(quality, "FEW", 3)
+    again = quality.trained(odd, labels)
+    assert (again.ratio == model.ratio).all() and (again.weights == model.weights).all()
     assert quality.scored(odd, model).count() == odd.count() and quality.scored(none, model).count() == 0
-    flat = quality.trained(rows.where("label = 1"))
+    flat = quality.trained(odd, labels.where("label = 1"))
     assert all(r["score"] > 0.99 for r in quality.scored(odd, flat).collect())
-    assert all(abs(r["score"] - 0.5) < 1e-6 for r in quality.scored(odd, quality.trained(rows.limit(0))).collect())
+    for docs, rows in ((none, labels), (odd, labels.limit(0)), (odd, labels.withColumn("label", F.lit(None)))):
+        assert all(abs(r["score"] - 0.5) < 1e-6 for r in quality.scored(odd, quality.trained(docs, rows)).collect())
 
 
 def test_op10(spark, odd, none, docs):
