@@ -111,3 +111,50 @@ def change_points(counts: DataFrame, by: list[str], least: int = 5) -> DataFrame
         return pd.DataFrame([[*key, days[i]] for i in S.change_points(t["n"], least=least)], columns=[*by, "day_no"])
 
     return counts.groupBy(*by).applyInPandas(run, f"{kinds}, day_no long")
+
+
+STATE = "n_states long, treated_units long, control_units long, treated_rate double, control_rate double, upper double, lower double, p double, minimum_p double, unit_days long"
+
+
+def state_tests(daily: DataFrame, by: list[str]) -> DataFrame:
+    """Does an act come more often on days in a state (a run of days) than on as many ordinary days just before and after it?
+
+    daily: (by, day_no, outcome 1/0/null, inside). Days are joined to units as long as the outcome clusters; a unit is 1 if the
+    act came on one of its days, 0 if on none, and doesn't count if that isn't known. Each run is a table of its own, and the
+    runs' hypergeometric distributions are convolved. A series' days are one group."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in daily.schema if f.name in by)
+
+    def units(values: list, at: list[int], size: int) -> list[int]:
+        parts = [[values[i] for i in at[j : j + size]] for j in range(0, len(at), size)]
+        return [int(1 in p) for p in parts if 1 in p or None not in p]
+
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("day_no")
+        values, inside = [None if pd.isna(x) else int(x) for x in t["outcome"]], t["inside"].tolist()
+        size, tables, i = S.unit_length(values, inside), [], 0
+        while i < len(inside):
+            j = i
+            while j < len(inside) and inside[j]:
+                j += 1
+            if j > i:
+                around = [[k for k in range(max(0, i - (j - i)), i) if not inside[k]], [k for k in range(j, min(len(inside), j + (j - i))) if not inside[k]]]
+                tables.append((units(values, list(range(i, j)), size), [x for a in around for x in units(values, a, size)]))
+            i = max(j, i + 1)
+        tables = [x for x in tables if x[0] and x[1]]
+        hit, base = [x for a, _ in tables for x in a], [x for _, c in tables for x in c]
+        up, low, least = S.table_tails(tables)
+        rate = lambda x: sum(x) / len(x) if x else 0.0
+        row = [*key, len(tables), len(hit), len(base), rate(hit), rate(base), up, low, S.two_sided(up, low), least, size]
+        return pd.DataFrame([row], columns=[*by, *(x.split()[0] for x in STATE.split(", "))])
+
+    return daily.groupBy(*by).applyInPandas(run, f"{kinds}, {STATE}")
+
+
+def more_needed(strat: DataFrame, threshold: float) -> DataFrame:
+    """How many more informative strata, as telling as the median one, could bring the least p to the threshold; null without
+    an informative one."""
+    b = blocks(strat).where((F.col("p") > 0) & (F.col("p") < 1))
+    typical = b.groupBy(*KEY).agg(F.median(F.least("p", 1 - F.col("p"))).alias("typical"))
+    e = effects(strat).select(*KEY, "minimum_p").join(typical, KEY, "left")
+    need = F.ceil(F.round(F.log(F.lit(threshold) / F.col("minimum_p")) / F.log("typical"), 9)).cast("long")
+    return e.select(*KEY, F.when(F.col("typical").isNotNull(), F.when(F.col("minimum_p") <= threshold + 1e-12, F.lit(0).cast("long")).otherwise(need)).alias("needed"))

@@ -128,3 +128,9 @@ def offset_strengths(settled: DataFrame, key: list[str]) -> DataFrame:
     past = a.select(*key, F.col("start_us").alias("p_us"), F.abs("offset").alias("p"))
     by = a.join(past, key).where("p_us < start_us").groupBy(*key, "id", "offset").agg(F.count("*").alias("n"), F.avg((F.col("p") >= F.abs("offset")).cast("double")).alias("share"))
     return a.join(by.select("id", "n", "share"), "id", "left").select(*key, "id", F.when((F.col("offset") == 0) | (F.coalesce("n", F.lit(0)) < 2), 1.0).otherwise(F.col("share")).alias("strength"))
+
+
+def calibration(settled: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Claimed against realized chances (by, claimed, hit) of each slice, and whether the claim lies outside the bounds."""
+    s = settled.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.avg("claimed").alias("claimed"), F.sum(F.col("hit").cast("double")).alias("k"))
+    return reading(s, alpha).withColumn("off", (F.col("claimed") < F.col("lower")) | (F.col("claimed") > F.col("upper")))

@@ -83,6 +83,17 @@ def moderated_conditions(spark, d):
     return g.select("lane", "start_us", (F.weekday("day") >= 5).alias("weekend"), recent.alias("recent"), ((F.weekday("day") >= 5) & recent).alias("both"))
 
 
+def state_tests(spark, d):
+    """Clicks of each lane on days of a run of busy days (four rows or more) and around it."""
+    r = S.events(spark, d).groupBy("lane", "day").agg(F.count("*").alias("n"), F.max((F.col("kind") == "click").cast("int")).alias("outcome"))
+    full = r.groupBy("lane").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("lane", F.explode(F.sequence("a", "b")).alias("day")).join(r, ["lane", "day"], "left")
+    return R.state_tests(full.select("lane", day_number(F.col("day")).alias("day_no"), "outcome", (F.coalesce("n", F.lit(0)) >= 4).alias("inside")), ["lane"])
+
+
+def more_needed(spark, d):
+    return R.more_needed(_strata(spark, d), 0.01)
+
+
 STRATA = f"""
 b AS (SELECT lane, kind AS antecedent, start_us AS a_us, last_us AS end_us, day FROM eps),
 k AS (SELECT DISTINCT lane, kind AS consequent FROM eps),
@@ -103,6 +114,8 @@ round(CASE WHEN avg(rate) > 0 THEN avg(treated) / avg(rate) - 1 END + 1e-11, {P}
     "relation_stability": W + """, by1 AS (SELECT lane, antecedent, consequent, block, sum(treated) AS t, sum(rate) AS r, count(*) AS c FROM bl GROUP BY 1, 2, 3, 4),
 d AS (SELECT *, round((sum(t) OVER w - sum(r) OVER w) / sum(c) OVER w, 12) AS whole, round((sum(t) OVER w - t - sum(r) OVER w + r) / nullif(sum(c) OVER w - c, 0), 12) AS rest FROM by1 WINDOW w AS (PARTITION BY lane, antecedent, consequent))
 SELECT lane, antecedent, consequent, bool_and(coalesce(rest * whole > 0, false)) AND count(*) > 1 AS stable FROM d GROUP BY 1, 2, 3""",
+    "more_needed": W + """, m AS (SELECT lane, antecedent, consequent, median(least(p, 1 - p)) FILTER (WHERE p > 0 AND p < 1) AS typical, CASE WHEN count(CASE WHEN p > 0 AND p < 1 THEN 1 END) = 0 THEN 1 ELSE least(1, 2 * least(product(p) FILTER (WHERE p > 0 AND p < 1), product(1 - p) FILTER (WHERE p > 0 AND p < 1))) END AS mp FROM bl GROUP BY 1, 2, 3)
+SELECT lane, antecedent, consequent, CASE WHEN typical IS NOT NULL THEN CASE WHEN mp <= 0.01 + 1e-12 THEN 0 ELSE CAST(ceil(round(ln(0.01 / mp) / ln(typical), 9)) AS BIGINT) END END AS needed FROM m""",
     "candidate_relations": E + ", n AS (SELECT lane, kind FROM days GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a.lane, a.kind AS antecedent, b.kind AS consequent FROM n a JOIN n b ON a.lane = b.lane AND a.kind <> b.kind",
     "first_arrivals": E + "SELECT a.lane, a.kind, a.start_us, arg_min(b.kind, (b.start_us, b.kind)) AS first_kind FROM eps a JOIN eps b ON a.lane = b.lane AND a.kind <> b.kind AND b.start_us > a.last_us AND b.start_us <= a.last_us + 21600000000 GROUP BY 1, 2, 3",
     "calendar_strata": f"""WITH {S.SQL.strip()}, sp AS (SELECT lane, CAST(unnest(generate_series(min(day), DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day FROM rec GROUP BY lane),
@@ -112,4 +125,4 @@ SELECT lane, CAST(week AS INT) AS week, count(CASE WHEN weekend THEN 1 END) AS w
 g AS (SELECT e.lane, e.start_us, isodow(e.day) >= 6 AS weekend, CASE WHEN EXISTS (SELECT 1 FROM rec r WHERE r.lane = e.lane AND r.kind = 'purchase' AND r.start_us < e.start_us AND r.start_us >= e.start_us - 86400000000) THEN true WHEN e.start_us - lane_us < 86400000000 THEN NULL ELSE false END AS recent FROM eps e JOIN fi ON fi.lane = e.lane WHERE kind = 'view')
 SELECT lane, start_us, weekend, recent, weekend AND recent AS both FROM g""",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (relation_tests, relation_discoveries, lane_change_points)}
+QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (relation_tests, relation_discoveries, lane_change_points, state_tests)}

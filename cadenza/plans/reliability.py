@@ -106,6 +106,11 @@ def calibration_slices(spark, d):
     return e.groupBy("kind", "slice").agg(F.count("*").alias("n"), F.round(F.avg("strength"), P).alias("claimed"), F.round(F.avg(F.col("came").cast("double")), P).alias("realized"))
 
 
+def calibration_bounds(spark, d):
+    e = _evidence(spark, d).select("kind", F.floor(F.col("strength") * 4).alias("slice"), F.col("strength").alias("claimed"), F.col("came").alias("hit"))
+    return R.calibration(e, ["kind", "slice"])
+
+
 def connected_spans(spark, d):
     """Components of overlapping records of a lane (starts within 30 minutes of the running end)."""
     r = S.records(spark, d).select("lane", "uri", "start_us", (F.col("last_us") + HOUR // 2).alias("end_us"))
@@ -146,4 +151,4 @@ SELECT bucket, id, CASE WHEN o = 0 OR (SELECT count(*) FROM a p WHERE p.bucket =
 n AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY lane ORDER BY start_us, uri ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
 c AS (SELECT *, sum(new) OVER (PARTITION BY lane ORDER BY start_us, uri) AS component FROM n) SELECT lane, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM c GROUP BY lane, component""",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {"account_readings": account_readings, "edge_readings": edge_readings}
+QUERIES = {n: globals()[n] for n in SQL} | {"account_readings": account_readings, "edge_readings": edge_readings, "calibration_bounds": calibration_bounds}

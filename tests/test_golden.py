@@ -244,3 +244,12 @@ def test_weekly_act_is_expected_on_the_seventh_day(spark):
     assert (r["elapsed"], r["opened"], r["hits"]) == (7, 7, 4) and (r["start_us"], r["end_us"]) == (135 * T.DAY_US + 601 * MIN, 135 * T.DAY_US + 604 * MIN)
     (late,) = triggers.day_expectations(days, iv, 142).collect()
     assert late["elapsed"] == 14 and late["hits"] == 4
+
+
+def test_state_against_its_neighbours(spark):
+    from cadenza.operators import relations
+
+    days = [(1, i, int(20 <= i < 26), 20 <= i < 26) for i in range(60)] + [(2, i, i % 2, 20 <= i < 26) for i in range(60)]
+    got = {r["s"]: r for r in relations.state_tests(spark.createDataFrame(days, "s int, day_no int, outcome int, inside boolean"), ["s"]).collect()}
+    assert got[1]["p"] < 0.05 and got[1]["treated_rate"] == 1 and got[1]["control_rate"] == 0 and got[1]["n_states"] == 1
+    assert got[2]["p"] > 0.5
