@@ -158,3 +158,28 @@ def more_needed(strat: DataFrame, threshold: float) -> DataFrame:
     e = effects(strat).select(*KEY, "minimum_p").join(typical, KEY, "left")
     need = F.ceil(F.round(F.log(F.lit(threshold) / F.col("minimum_p")) / F.log("typical"), 9)).cast("long")
     return e.select(*KEY, F.when(F.col("typical").isNotNull(), F.when(F.col("minimum_p") <= threshold + 1e-12, F.lit(0).cast("long")).otherwise(need)).alias("needed"))
+
+
+def strata_same_day(eps: DataFrame, window_hours: int = 6) -> DataFrame:
+    """Like strata, with the ends of the lane's other episodes of that day as controls: of neither kind, and in another quarter
+    of an hour than the antecedent's end."""
+    span, slot = window_hours * 3_600_000_000, 900_000_000
+    acts = eps.select("lane", F.col("kind").alias("consequent"), F.col("start_us").alias("b_us"))
+    chain = eps.select("lane", F.col("kind").alias("antecedent"), F.col("start_us").alias("a_us"), F.col("last_us").alias("end_us"), "day")
+    base = chain.join(acts.select("lane", "consequent").distinct(), "lane").where("antecedent <> consequent")
+    ends = eps.select("lane", "day", F.col("kind").alias("other"), F.col("last_us").alias("o_us"))
+    other = base.join(ends, ["lane", "day"]).where((F.col("other") != F.col("antecedent")) & (F.col("other") != F.col("consequent")) & (F.floor(F.col("o_us") / slot) != F.floor(F.col("end_us") / slot)))
+    # one control a slot
+    other = other.groupBy(*KEY, "a_us", "day", F.floor(F.col("o_us") / slot).alias("slot")).agg(F.min("o_us").alias("at")).withColumn("own", F.lit(False)).drop("slot")
+    probe = base.select(*KEY, "a_us", "day", F.col("end_us").alias("at"), F.lit(True).alias("own")).unionByName(other)
+    hit = probe.join(acts, ["lane", "consequent"], "left").groupBy(*KEY, "a_us", "day", "own", "at").agg(F.coalesce(F.max(((F.col("b_us") > F.col("at")) & (F.col("b_us") <= F.col("at") + span)).cast("int")), F.lit(0)).alias("hit"))
+    return hit.groupBy(*KEY, "a_us", "day").agg(F.max(F.when(F.col("own"), F.col("hit"))).alias("treated"), F.count(F.when(~F.col("own"), 1)).alias("controls"), F.sum(F.when(~F.col("own"), F.col("hit")).otherwise(0)).alias("positives"))
+
+
+def paired(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Effects (as of effects) by two kinds of controls, both of which must hold: the larger least p, the weaker difference, 0
+    where they point apart."""
+    b = second.select(*KEY, F.col("difference").alias("d2"), F.col("minimum_p").alias("p2"))
+    j = first.select(*KEY, F.col("difference").alias("d1"), F.col("minimum_p").alias("p1")).join(b, KEY)
+    weak = F.when(F.col("d1") * F.col("d2") <= 0, 0.0).when(F.abs("d1") <= F.abs("d2"), F.col("d1")).otherwise(F.col("d2"))
+    return j.select(*KEY, F.greatest("p1", "p2").alias("minimum_p"), weak.alias("difference"))

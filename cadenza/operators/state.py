@@ -131,3 +131,16 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
         reach = reach.union(frontier)
         frontier = frontier.select("child", F.col("parent").alias("mid")).join(edges.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").distinct()
     raise ValueError("the graph has a cycle or is too deep")
+
+
+def value_sets(raised: DataFrame, by: list[str]) -> DataFrame:
+    """Single values of one dimension (by, dimension, value) that hold, as one set where there are two or more."""
+    s = raised.groupBy(*by, "dimension").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return s.where(F.size("values") >= 2)
+
+
+def revisable(classes: DataFrame, today: Column, cooling: int, cap: int) -> DataFrame:
+    """Classes (class_id, touched, changed, n) that may be split or merged now: none that changed already or was touched within
+    the cooling time; the largest first, as many as the cap."""
+    ok = classes.where(~F.col("changed") & (F.datediff(today, F.col("touched")) >= cooling))
+    return ok.orderBy(F.col("n").desc(), "class_id").limit(cap)

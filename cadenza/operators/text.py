@@ -111,3 +111,23 @@ def chunked(df: DataFrame, size: int) -> DataFrame:
             yield made.explode(["chunk_no", "chunk"])[[*own, "chunk_no", "chunk"]]
 
     return df.mapInPandas(run, schema)
+
+
+def recalled(new: DataFrame, old: DataFrame, by: list[str], each: int) -> DataFrame:
+    """For each new entry (by, id, grams) in turn the `each` most alike old ones that none before took; only alike ones count, ties by
+    id. Taking depends on what was taken before, so a group's entries are one task; old ones without a shared pair of
+    characters are left out before, by a join on the pairs."""
+    pair = old.select(*by, F.col("id").alias("old_id"), F.explode("grams").alias("g"), F.size("grams").alias("m"))
+    both = new.select(*by, "id", F.explode("grams").alias("g"), F.size("grams").alias("n")).join(pair, [*by, "g"]).groupBy(*by, "id", "old_id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    alike = both.select(*by, "id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alike.schema if f.name not in ("score",))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        taken, keep = set(), []
+        for _, own in t.sort_values(["id", "score", "old_id"], ascending=[True, False, True]).groupby("id", sort=True):
+            left = own[~own["old_id"].isin(taken)].head(each)
+            taken |= set(left["old_id"])
+            keep.append(left)
+        return pd.concat(keep).drop(columns="score")
+
+    return alike.groupBy(*by).applyInPandas(run, kinds)

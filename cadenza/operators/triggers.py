@@ -124,3 +124,20 @@ def retained(messages: DataFrame, budget: int, ideal: int) -> DataFrame:
     closeness = 1 - F.least(F.abs(F.col("after") - ideal) / F.lit(float(ideal)), F.lit(1.0))
     scored = m.withColumn("score", F.round(2 * F.coalesce("semantic", F.lit(0.0)) + closeness, 9))
     return scored.groupBy("conv_id").agg(F.max_by("turn", F.struct("score", "turn")).alias("turn"), F.max("score").alias("score"))
+
+
+def clamped(drafts: DataFrame, now_us: int, slot_us: int = 900_000_000) -> DataFrame:
+    """Windows (start_us, end_us, boundary_us) that can still be kept: they start no earlier than now, last a slot at least, and
+    end by the boundary; those that are over go."""
+    start = F.greatest("start_us", F.lit(now_us))
+    end = F.least(F.greatest(F.col("end_us"), start + slot_us), F.col("boundary_us"))
+    return drafts.where(F.col("end_us") >= now_us).withColumns({"start_us": start, "end_us": end}).where(F.col("end_us") > F.col("start_us"))
+
+
+def formed(drafts: DataFrame, known: DataFrame, version: str) -> DataFrame:
+    """Expectations of drafts (lane, kind, source, trigger, instance, ...): one an identity, which names lane, kind, source,
+    trigger, instance and the rules' version; those that are known already go."""
+    identity = F.substring(F.sha2(F.concat_ws("|", "lane", "kind", "source", "trigger", "instance", F.lit(version)), 256), 1, 24)
+    named = drafts.withColumn("id", identity)
+    w = Window.partitionBy("id").orderBy("start_us", "end_us")
+    return named.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").join(known.select("id"), "id", "left_anti")

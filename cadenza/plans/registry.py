@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import documents, foresight, relations, reliability, state, streams, temporal, triggers, vectors
+from cadenza.plans import documents, foresight, more, relations, reliability, state, streams, temporal, triggers, vectors
 
-MODULES = (temporal, foresight, relations, reliability, vectors, state, streams, triggers, documents)
+MODULES = (temporal, foresight, relations, reliability, vectors, state, streams, triggers, documents, more)
 
 
 def queries() -> dict:

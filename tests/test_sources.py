@@ -59,3 +59,27 @@ def test_holidays(spark, tmp_path):
     got = {r["day"]: (r["day_type"], r["nominal"]) for r in tables.day_types(days, good, "x").collect()}
     assert [got[dt.date(2024, 1, d)][0] for d in (1, 2, 6, 7)] == ["holiday", "workday", "makeup", "weekend"]
     assert got[dt.date(2025, 1, 4)] == (None, "weekend")
+
+
+def test_datasets(spark, tmp_path):
+    import json
+
+    from cadenza.sources import datasets
+
+    sample = {"sample_id": "s1", "scenarios": ["a"], "sessions": [{"session_id": "x", "at": "2024", "messages": [{"message_id": "m1", "speaker": "u", "text": "hi"}, {"message_id": "m2", "speaker": "a", "text": "yo"}]}],
+              "questions": [{"question_id": "q1", "category": "single", "question": "?", "answer": "!", "evidence": ["m1", "gone"]}, {"question_id": "q2", "category": "adversarial", "question": "?", "answer": "", "evidence": []}]}
+    (tmp_path / "d.json").write_text(json.dumps(sample) + "\n")
+    messages, questions = datasets.load(spark, str(tmp_path / "d.json"))
+    assert [(r["message_id"], r["place"]) for r in messages.orderBy("place").collect()] == [("m1", 0), ("m2", 1)]
+    assert [r["question_id"] for r in questions.collect()] == ["q1"] and datasets.load(spark, str(tmp_path / "d.json"), adversarial=True)[1].count() == 2
+    assert [r["message_id"] for r in datasets.dangling_evidence(messages, questions).collect()] == ["gone"]
+
+
+def test_schemas_are_checked():
+    from cadenza.operators import documents
+
+    got = documents.struct_of([{"name": "a", "type": "text", "required": True}, {"name": "b", "type": "list"}])
+    assert got.simpleString() == "struct<a:string,b:array<string>>" and not got["a"].nullable
+    for bad in ([{"name": "a", "type": "text"}] * 2, [{"name": "a", "type": "blob"}]):
+        with pytest.raises(ValueError):
+            documents.struct_of(bad)
