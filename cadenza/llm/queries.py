@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
-from .jaccard import op1_ngram_jaccard
+from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .licenses import op10_license_scan
 from .mixing import op2_mixing
 from .packing import op4_packing
 from .quality import op6_quality_classifier
-from .repeats import op9_substring_dedup
+from .repeats import OP9_SQL, op9_substring_dedup
 from .rules import OP7_SQL, op7_quality_rules
 from .sharding import op8_sharding
 from .warc import op5_warc
@@ -21,4 +21,4 @@ def pipeline(spark, sf_dir: str):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_fingerprints, op4_packing, op5_warc, op6_quality_classifier, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_license_scan, pipeline)}
-SQL = {"op7_quality_rules": OP7_SQL}
+SQL = {"op1_ngram_jaccard": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_substring_dedup": OP9_SQL}

@@ -149,3 +149,14 @@ def without_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     return kept.select(*[out[c].alias(c) for c in docs.columns])
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13)),
+lo AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+cov AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN lo USING (g), (SELECT unnest(range(13)) AS j) WHERE lo < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM word WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.doc_id = word.doc_id AND c.p = word.p) GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
