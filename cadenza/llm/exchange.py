@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES, BUCKET_MOST, MESSAGE = 4 << 20, 64 << 20, 32
 ASK = "block int, bucket int, asked binary"
 ANSWER = "bucket int, block int, answer binary"
 
@@ -34,9 +34,13 @@ def ids(t: pa.Table) -> list:
     return t.column("doc_id").to_pylist()
 
 
-def bits_for(n_bytes: int, per_block: int) -> int:
-    """Bits of a block's number, for blocks of about per_block bytes of text."""
-    return min(24, max(0, int(np.ceil(np.log2(max(1, n_bytes / per_block))))))
+def shape(n_bytes: int, per_block: int) -> tuple[int, int]:
+    """Buckets, and bits of a block's number, for so many bytes of text: buckets of BUCKET_BYTES and blocks of per_block at
+    least. Both grow with the root of the corpus, so that a bucket's message to a block keeps MESSAGE entries or so and messages
+    don't outweigh what they carry; buckets up to BUCKET_MOST, what a Python worker can hold, and blocks beyond that."""
+    one = min(BUCKET_MOST, max(BUCKET_BYTES, int((12 * MESSAGE * n_bytes) ** 0.5)))
+    block = max(per_block, 12 * MESSAGE * n_bytes // one)
+    return max(1, -(-n_bytes // one)), min(24, max(0, int(np.ceil(np.log2(max(1, n_bytes / block))))))
 
 
 def asking(keys: np.ndarray, bits: int, width: int, known: list[np.ndarray]) -> list[tuple[int, bytes]]:

@@ -160,9 +160,9 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, chunk: int
         raise ValueError("percent must be 75 to 100")
     docs = documents(docs)
     _, size = text_bytes(docs)
-    bits = X.bits_for(size, 6 << 20)
+    n_buckets, bits = X.shape(size, 6 << 20)
     width = min(6, (61 - bits) // 8)
-    dealt = X.buckets(docs, max(1, -(-size // X.BUCKET_BYTES)))
+    dealt = X.buckets(docs, n_buckets)
     schema = "doc_id long, n_shingles long, sig long, shingles binary, prefix array<long>, unsure boolean"
 
     def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:

@@ -84,12 +84,13 @@ def removed(docs: DataFrame, length: int = 13, seed: int = 5, carry: bool = Fals
     docs = documents(docs, row.alias("row"))
     row_type = docs.schema["row"].dataType.simpleString()
     _, size = text_bytes(docs)
-    bits, bits2 = X.bits_for(size, 16 << 20), X.bits_for(size, 8 << 20)
+    n_buckets, bits = X.shape(size, 16 << 20)
+    bits2 = X.shape(size, 8 << 20)[1]
     width = min(7, (64 - bits) // 8)
     keep = U(0xFFFFFFFFFFFFFFFF) << U(64 - bits - 8 * width)
     wide = min(8, (64 - bits2) // 8)
     keep2 = U(0xFFFFFFFFFFFFFFFF) << U(64 - bits2 - 8 * wide)
-    dealt = X.buckets(docs, max(1, -(-size // X.BUCKET_BYTES)))
+    dealt = X.buckets(docs, n_buckets)
 
     def load(t: pa.Table) -> _Bucket:
         b = _Bucket(t, length, seed)

@@ -316,3 +316,27 @@ def test_op10(spark, odd, none, docs):
     planted = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     for r in licenses.scanned(docs).collect():
         assert set(r["licenses"]) == {v for k, v in planted.items() if k in r["text"]}
+
+
+def test_buckets_and_blocks_grow_with_the_corpus():
+    from cadenza.llm import exchange
+
+    assert exchange.shape(0, 6 << 20) == (1, 0)
+    for size in (10**6, 10**9, 10**11, 10**13, 10**14):
+        buckets, bits = exchange.shape(size, 6 << 20)
+        assert size / buckets <= exchange.BUCKET_MOST and (size < 10**11 or size / 12 / buckets / 2**bits > 8)
+    assert exchange.shape(840 << 20, 6 << 20) == (210, 8)
+
+
+def test_op1_and_op9_in_many_buckets(docs, monkeypatch):
+    from cadenza.llm import exchange
+
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(exchange, "BUCKET_MOST", 20_000)
+    monkeypatch.setattr(exchange, "MESSAGE", 1)
+    monkeypatch.setattr(exchange, "shape", lambda n, per, f=exchange.shape: f(n, 9_000))
+    assert exchange.shape(500_000, 0)[0] > 20 and exchange.shape(500_000, 0)[1] > 3
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.near_copies(docs).collect())
+    assert got == brute.near_copies(pairs(docs))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.removed(docs).collect())
+    assert got == brute.repeats(pairs(docs))
