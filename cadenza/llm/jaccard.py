@@ -204,7 +204,8 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, chunk: int
     near = components(entry.join(hub, "token").select(F.col("sig").alias("a"), F.col("hub").alias("b")))
     near = near.select(F.col("node").alias("sig"), F.col("component").alias("group"))
     sizes = near.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    candidate = classes.select("sig", "shingles").join(near, "sig").join(sizes, "group")
+    sized = near.join(sizes, "group")  # numbers alone; shingles are shuffled for the next join and once to their tables
+    candidate = classes.select("sig", "shingles").join(sized, "sig")
     tables = max(1, size // (16 << 20))
     small = candidate.where(F.col("size") <= chunk).withColumn("part", F.col("group")).groupBy(F.pmod(F.xxhash64("group"), F.lit(tables)).alias("t")).applyInArrow(_inside(percent), "sig long, label long, links long").select("sig", "label")
     if sizes.where(F.col("size") > chunk).limit(1).count():
