@@ -48,9 +48,9 @@ def edge_readings(spark, d):
     return R.edge_readings(m, ["lane", "kind"])
 
 
-def _expectations(spark, d):
-    """Every tenth order expects a shipment 5 to 60 days later, looked for from 1 to 90 days; some were spoken of."""
-    o = S.table(spark, d, "orders").where(F.col("o_orderkey") % 10 == 3)
+def _all_expectations(spark, d):
+    """Every order expects a shipment 20 to 60 days later, looked for from 1 to 90 days; some were spoken of."""
+    o = S.table(spark, d, "orders")
     at = micros("o_orderdate")
     return o.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("order"), (at + DAY).alias("from_us"), (at + 20 * DAY).alias("start_us"), (at + 60 * DAY).alias("end_us"), (at + 90 * DAY).alias("to_us"),
@@ -58,23 +58,48 @@ def _expectations(spark, d):
     )
 
 
+def _expectations(spark, d):
+    """Of every tenth order, as the SQL of the queries without _all has it."""
+    return _all_expectations(spark, d).where(F.col("id") % 10 == 3)
+
+
 def _ships(spark, d):
     x = S.table(spark, d, "lineitem").where("l_returnflag <> 'R'")
     return x.select(F.col("l_orderkey").alias("order"), micros("l_shipdate").alias("at_us"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uri"))
 
 
+def _summary(settled):
+    return settled.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("offset_minutes").alias("minutes"))
+
+
+def _rulings(expected, ships):
+    s = R.settle(expected, ships, ["order"]).where("outcome = 'overdue'")
+    o = s.select("id", "order", F.col("to_us").alias("deadline_us"), F.when(F.col("id") % 3 == 0, F.col("to_us") + 1000 * DAY).alias("before_us"))
+    return R.rule_overdue(o, ships, ["order"]).select("id", "uri", "delay_minutes")
+
+
 def settlements(spark, d):
     return R.settle(_expectations(spark, d), _ships(spark, d), ["order"]).select("id", "at_us", "uri", "outcome", "offset_minutes")
 
 
+def settlements_all(spark, d):
+    return R.settle(_all_expectations(spark, d), _ships(spark, d), ["order"]).select("id", "at_us", "uri", "outcome", "offset_minutes")
+
+
 def settlement_summary(spark, d):
-    return R.settle(_expectations(spark, d), _ships(spark, d), ["order"]).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("offset_minutes").alias("minutes"))
+    return _summary(settlements(spark, d))
+
+
+def settlement_summary_all(spark, d):
+    return _summary(settlements_all(spark, d))
 
 
 def overdue_rulings(spark, d):
-    s = R.settle(_expectations(spark, d), _ships(spark, d), ["order"]).where("outcome = 'overdue'")
-    o = s.select("id", "order", F.col("to_us").alias("deadline_us"), F.when(F.col("id") % 3 == 0, F.col("to_us") + 1000 * DAY).alias("before_us"))
-    return R.rule_overdue(o, _ships(spark, d), ["order"]).select("id", "uri", "delay_minutes")
+    return _rulings(_expectations(spark, d), _ships(spark, d))
+
+
+def overdue_rulings_all(spark, d):
+    return _rulings(_all_expectations(spark, d), _ships(spark, d))
 
 
 def shipment_omissions(spark, d):
@@ -82,17 +107,29 @@ def shipment_omissions(spark, d):
     return R.omissions(rows, _expectations(spark, d), ["order"]).select("order", "uri")
 
 
+def shipment_omissions_all(spark, d):
+    return R.omissions(_ships(spark, d), _all_expectations(spark, d), ["order"]).select("order", "uri")
+
+
 def standing_facts(spark, d):
     e = S.events(spark, d)
     f = e.select((F.col("lane") * 100 + F.col("k") % 7).alias("id"), (F.col("k") % 3).alias("precedence"), (F.col("k") % 2 == 0).alias("is_revision"), F.col("uri").alias("seq"))
     return R.current_facts(f)
 
 
-def offset_strengths(spark, d):
-    s = R.settle(_expectations(spark, d), _ships(spark, d), ["order"]).where("outcome <> 'overdue'").withColumn("bucket", F.col("id") % 70)
+def _strengths(expected, ships):
+    s = R.settle(expected, ships, ["order"]).where("outcome <> 'overdue'").withColumn("bucket", F.col("id") % 70)
     return R.offset_strengths(s, ["bucket"]).withColumn("strength", F.round("strength", P))
 
 
+def offset_strengths(spark, d):
+    return _strengths(_expectations(spark, d), _ships(spark, d))
+
+
+def offset_strengths_all(spark, d):
+    return _strengths(_all_expectations(spark, d), _ships(spark, d))
+
+
 def first_closing_responses(spark, d):
     """Of each conversation's assistant turns: the first that closes (text without a question mark at its end), else the last."""
     c = S.table(spark, d, "conversations").where("role = 'assistant'").withColumn("closes", F.length("text") % 2 == 0)
@@ -151,4 +188,7 @@ SELECT bucket, id, CASE WHEN o = 0 OR (SELECT count(*) FROM a p WHERE p.bucket =
 n AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY lane ORDER BY start_us, uri ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
 c AS (SELECT *, sum(new) OVER (PARTITION BY lane ORDER BY start_us, uri) AS component FROM n) SELECT lane, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM c GROUP BY lane, component""",
 }
+# The same of all orders: queries of their own, as the SQL above stands.
+TENTH = ("settlements", "settlement_summary", "overdue_rulings", "shipment_omissions", "offset_strengths")
+SQL |= {f"{n}_all": SQL[n].replace(" WHERE o_orderkey % 10 = 3", "").replace("ord % 10 = 3 AND ", "") for n in TENTH}
 QUERIES = {n: globals()[n] for n in SQL} | {"account_readings": account_readings, "edge_readings": edge_readings, "calibration_bounds": calibration_bounds}
