@@ -47,6 +47,12 @@ def vector_upsert(spark, d):
     return V.upsert(t, c)
 
 
+def vector_upsert_all(spark, d):
+    """All events' changes into all vectors: four events change an id, and every other id is changed or new."""
+    c = S.table(spark, d, "events").select(F.expr("event_id div 4 * 2").alias("id"), (F.col("user_id") % 10).cast("int").alias("label"), F.col("event_id").alias("seq"))
+    return V.upsert(_vectors(spark, d).select("id", "label"), c)
+
+
 def vector_delete(spark, d):
     return V.delete(_vectors(spark, d), _vectors(spark, d).where("label = 2")).select("id", "label")
 
@@ -208,6 +214,7 @@ SQL = {
     "vector_normalise": f"SELECT vec_id AS id, 1.0 AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {P}) AS first FROM embeddings",
     "vector_scan": "SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 4) ORDER BY vec_id LIMIT 20",
     "vector_upsert": "WITH c AS (SELECT event_id % 400 AS id, CAST(user_id % 10 AS INT) AS label FROM events WHERE event_id < 600 QUALIFY row_number() OVER (PARTITION BY event_id % 400 ORDER BY event_id DESC) = 1) SELECT id, label FROM c UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id < 300 AND vec_id NOT IN (SELECT id FROM c)",
+    "vector_upsert_all": "WITH c AS (SELECT event_id // 4 * 2 AS id, CAST(user_id % 10 AS INT) AS label FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id DESC) = 1) SELECT id, label FROM c UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM c)",
     "vector_delete": "SELECT vec_id AS id, label FROM embeddings WHERE label <> 2",
     "vector_read": "SELECT doc_id AS position, vec_id AS id, label FROM labels JOIN embeddings ON vec_id = doc_id * 3",
     "index_consistency": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'stale' END AS state FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 UNION ALL SELECT item_id + 1000000, 'orphan' FROM benchmark",
