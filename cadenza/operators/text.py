@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # Patterns of credentials, and what replaces them.
 SECRETS = (
@@ -71,6 +71,31 @@ def evidence_hits(contexts: DataFrame, evidence: DataFrame, key: str) -> DataFra
     return ids.select(key, "evidence_id", "inside").join(part, [key, "evidence_id"], "left").select(key, "evidence_id", (F.col("inside") | F.coalesce("close", F.lit(False))).alias("hit"))
 
 
+@pandas_udf(ArrayType(StringType()))
+def numbered(s: pd.Series) -> pd.Series:
+    """Tokens with the count of their like before them: an intersection of sets counts a multiset's overlap."""
+
+    def run(tokens):
+        seen, out = {}, []
+        for t in () if tokens is None else tokens:
+            seen[t] = seen.get(t, 0) + 1
+            out.append(f"{t} {seen[t]}")
+        return out
+
+    return s.map(run)
+
+
+def evidence_everywhere(contexts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every evidence (evidence_id, evidence) in every context (key, context), by the same rule: a row for each pair. Contexts
+    are read once, against all evidence."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    tokens = lambda c: numbered(F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
+    c = contexts.select("key", plain(F.col("context")).alias("c")).withColumn("ct", tokens(F.col("c")))
+    e = evidence.select("evidence_id", plain(F.col("evidence")).alias("e")).withColumn("et", tokens(F.col("e")))
+    close = (F.size("et") >= 4) & (F.size(F.array_intersect("et", "ct")) >= 0.8 * F.size("et"))
+    return c.crossJoin(e).select("key", "evidence_id", F.when(F.expr("instr(c, e)") > 0, True).otherwise(F.coalesce(close, F.lit(False))).alias("hit"))
+
+
 @pandas_udf(StringType())
 def bigram_text(s: pd.Series) -> pd.Series:
     """NFKC and casefolded, without blanks and punctuation."""
@@ -115,11 +140,14 @@ def chunked(df: DataFrame, size: int) -> DataFrame:
 
 def recalled(new: DataFrame, old: DataFrame, by: list[str], each: int) -> DataFrame:
     """For each new entry (by, id, grams) in turn the `each` most alike old ones that none before took; only alike ones count, ties by
-    id. Taking depends on what was taken before, so a group's entries are one task; old ones without a shared pair of
-    characters are left out before, by a join on the pairs."""
-    pair = old.select(*by, F.col("id").alias("old_id"), F.explode("grams").alias("g"), F.size("grams").alias("m"))
-    both = new.select(*by, "id", F.explode("grams").alias("g"), F.size("grams").alias("n")).join(pair, [*by, "g"]).groupBy(*by, "id", "old_id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
-    alike = both.select(*by, "id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score"))
+    id; without by, all are one group. Taking depends on what was taken before, so a group's entries are one task: those before
+    the n-th took at most `each` * (n - 1), so its first `each` * n are all that it can take from, and only they go there."""
+    turn = new.select(*by, "id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
+    a, b = new.select(*by, "id", F.col("grams").alias("g")), old.select(*by, F.col("id").alias("old_id"), F.col("grams").alias("o"))
+    both = (b.join(a, by) if by else b.crossJoin(a)).select(*by, "id", "old_id", F.size("g").alias("n"), F.size("o").alias("m"), F.size(F.array_intersect("g", "o")).alias("c")).where("c > 0")
+    scored = both.select(*by, "id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score"))
+    w = Window.partitionBy(*by, "id").orderBy(F.col("score").desc(), "old_id")
+    alike = scored.withColumn("place", F.row_number().over(w)).join(turn, [*by, "id"]).where(F.col("place") <= F.col("turn") * each).drop("place", "turn")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alike.schema if f.name not in ("score",))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:

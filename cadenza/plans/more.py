@@ -50,11 +50,9 @@ def formed_expectations(spark, d):
 
 
 def recalled_entries(spark, d):
-    """Benchmark items and the two most alike documents of their lot that no earlier item took."""
-    t = S.table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("lot"), F.col("item_id").alias("id"), X.bigram_text("text").alias("t"))
-    o = S.table(spark, d, "documents").where("n_chars < 600").select((F.col("doc_id") % 5).alias("lot"), F.col("doc_id").alias("id"), X.bigram_text("text").alias("t"))
-    grams = lambda x: x.select("lot", "id", X.bigrams(F.col("t")).alias("grams"))
-    return X.recalled(grams(t), grams(o), ["lot"], 2)
+    """Benchmark items and the two most alike documents that no earlier item took."""
+    grams = lambda t, key: t.select(F.col(key).alias("id"), X.bigram_text("text").alias("t")).select("id", X.bigrams(F.col("t")).alias("grams"))
+    return X.recalled(grams(S.table(spark, d, "benchmark"), "item_id"), grams(S.table(spark, d, "documents"), "doc_id"), [], 2)
 
 
 W = f"WITH {S.SQL.strip()}, {DAYS_SQL.strip()}, {STRATA.strip()}"

@@ -139,12 +139,26 @@ def evidence_recall(spark, d):
     return _spans(spark, d).groupBy("evidence_id").agg(F.round(F.avg(F.col("hit").cast("double")), P).alias("recall"))
 
 
+def _everywhere(spark, d):
+    doc = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("context"))
+    return X.evidence_everywhere(doc, S.table(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("evidence")))
+
+
+def evidence_hits_all(spark, d):
+    """Each benchmark item and each document that holds it, of all documents."""
+    return _everywhere(spark, d).where("hit")
+
+
+def evidence_recall_all(spark, d):
+    return _everywhere(spark, d).groupBy("evidence_id").agg(F.round(F.avg(F.col("hit").cast("double")), P).alias("recall"))
+
+
 def bigram_similarity(spark, d):
-    """Each benchmark item against the documents of its own number, by Jaccard similarity of character pairs."""
+    """Each benchmark item against each document, by Jaccard similarity of character pairs."""
     a = S.table(spark, d, "benchmark").select("item_id", X.bigram_text("text").alias("t")).select("item_id", X.bigrams(F.col("t")).alias("a"))
-    b = S.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", X.bigram_text("text").alias("t")).select("item_id", "doc_id", X.bigrams(F.col("t")).alias("b"))
-    j = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    return a.join(b, "item_id").select("item_id", "doc_id", F.round(j, P).alias("similarity"))
+    b = S.table(spark, d, "documents").select("doc_id", X.bigram_text("text").alias("t")).select("doc_id", X.bigrams(F.col("t")).alias("b"))
+    both = b.crossJoin(a).select("item_id", "doc_id", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("c"))
+    return both.select("item_id", "doc_id", F.round(F.col("c") / F.nullif(F.col("n") + F.col("m") - F.col("c"), F.lit(0)), P).alias("similarity"))
 
 
 def document_chunks(spark, d):
@@ -208,6 +222,7 @@ a AS (SELECT key, evidence_id, t, count(*) AS a FROM (SELECT key, evidence_id, u
 o AS (SELECT key, evidence_id, sum(least(a, b)) AS s FROM a JOIN b USING (key, evidence_id, t) GROUP BY 1, 2),
 h AS (SELECT tk.key, tk.evidence_id, inside OR (len(et) >= 4 AND coalesce(s, 0) >= 0.8 * len(et)) AS hit FROM tk LEFT JOIN o ON o.key = tk.key AND o.evidence_id = tk.evidence_id)
 """
+EVID_ALL = EVID.replace("item_id * 10 + j AS key, ", "").replace("benchmark, (SELECT unnest(range(10)) AS j)", "benchmark").replace("SELECT key, evidence_id, e,", "SELECT doc_id AS key, evidence_id, e,", 1).replace("ev JOIN documents ON doc_id = key", "ev, documents")
 SQL = {
     "vector_search": HIT + f" SELECT query_id, id, rank, round(score, {P}) AS score FROM rk WHERE rank <= 10",
     "vector_search_filtered": HIT + " SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE query_id = 25 AND label = 3 QUALIFY rank <= 10",
@@ -235,6 +250,8 @@ t AS (SELECT *, CAST(sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT
     "clean_lines": r"SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(text, '[\p{C}\p{Z}]', ' ', 'g'), '\s+', ' ', 'g'))) AS INT) AS n FROM documents",
     "evidence_hits": EVID + "SELECT key, evidence_id, hit FROM h",
     "evidence_recall": EVID + f"SELECT evidence_id, round(avg(hit::INT::DOUBLE), {P}) AS recall FROM h GROUP BY 1",
+    "evidence_hits_all": EVID_ALL + "SELECT key, evidence_id, hit FROM h WHERE hit",
+    "evidence_recall_all": EVID_ALL + f"SELECT evidence_id, round(avg(hit::INT::DOUBLE), {P}) AS recall FROM h GROUP BY 1",
     "latency_distribution": f"SELECT event_type, count(*) AS count, round(avg(value), {P}) AS average, round(quantile_cont(value, 0.5), {P}) AS p50, round(quantile_cont(value, 0.95), {P}) AS p95, round(quantile_cont(value, 0.99), {P}) AS p99, round(max(value), {P}) AS maximum FROM events GROUP BY 1",
     "boundary_points": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median, round(mad(o_totalprice), 4) AS mad FROM orders GROUP BY 1",
     "quality_report": f"SELECT lang, count(*) AS n, CAST(sum(((n_chars > 800) = (quality = 1))::INT) AS BIGINT) AS correct, round(avg(((n_chars > 800) = (quality = 1))::INT::DOUBLE), {P}) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY 1",

@@ -1,5 +1,7 @@
 """Queries do the whole of their tables; results agree with SQL in test_queries.py."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from cadenza.plans import registry
@@ -22,3 +24,31 @@ def test_every_event_is_upserted(spark, sf):
     written = events.select(F.expr("event_id div 4 * 2").alias("id")).distinct()
     got = QUERIES["vector_upsert_all"](spark, sf).select("id")
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in written.union(held).distinct().collect())
+
+
+def grams(text):
+    t = "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if not c.isspace() and unicodedata.category(c)[0] not in "PZ")
+    return {t[i : i + 2] for i in range(len(t) - 1)}
+
+
+def test_every_item_meets_every_document(spark, sf):
+    items = {r["item_id"]: grams(r["text"]) for r in S.table(spark, sf, "benchmark").collect()}
+    docs = {r["doc_id"]: grams(r["text"]) for r in S.table(spark, sf, "documents").collect()}
+    alike = {(i, k): len(a & b) / len(a | b) for i, a in items.items() for k, b in docs.items() if a | b}
+    got = {(r["item_id"], r["doc_id"]): r["similarity"] for r in QUERIES["bigram_similarity"](spark, sf).collect()}
+    assert len(got) == len(items) * len(docs) and all(abs(got[k] - x) < 1e-6 for k, x in alike.items())
+    taken, want = set(), set()
+    for i in sorted(items):
+        best = sorted((-x, k) for (j, k), x in alike.items() if j == i and x and k not in taken)[:2]
+        taken |= {k for _, k in best}
+        want |= {(i, k) for _, k in best}
+    assert {(r["id"], r["old_id"]) for r in QUERIES["recalled_entries"](spark, sf).collect()} == want
+
+
+def test_evidence_is_looked_for_in_every_document(spark):
+    from cadenza.operators import text
+
+    ctx = spark.createDataFrame([(k, "filler words") for k in range(50)] + [(77, "a bobcat  SAT down here"), (78, "down sat the cat and a dog")], "key int, context string")
+    ev = spark.createDataFrame([(1, "cat sat"), (2, "a cat sat down there"), (3, "filler"), (4, "cat cat sat down")], "evidence_id int, evidence string")
+    got = {(r["key"], r["evidence_id"]) for r in text.evidence_everywhere(ctx, ev).where("hit").collect()}
+    assert got == {(77, 1), (78, 2), *((k, 3) for k in range(50))}
