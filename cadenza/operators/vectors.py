@@ -37,15 +37,27 @@ def search(table: DataFrame, query: list[float], limit: int, **filters) -> DataF
     return scored.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
-def search_many(table: DataFrame, queries: DataFrame, limit: int, max_queries: int = 10_000) -> DataFrame:
-    """The top rows for each query (query_id, qvec). The queries are a stated set of checked size, broadcast to the table; each
-    task keeps its own top rows of a query before the shuffle (window group limit)."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
+#: Queries that are broadcast at once.
+BLOCK = 10_000
+
+
+def search_many(table: DataFrame, queries: DataFrame, limit: int | None, max_queries: int | None = None) -> DataFrame:
+    """The top rows for each query (query_id, qvec), or all of them ranked if limit is None. Queries are dealt into blocks of
+    half BLOCK on the mean by their query_id; each is broadcast to the whole table, and each task keeps its own top rows of a
+    query before the shuffle (window group limit). With max_queries, more are refused."""
+    n = queries.count() if max_queries is None else queries.limit(max_queries + 1).count()
+    if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries; send them in blocks")
-    pairs = table.join(F.broadcast(queries), how="cross").withColumn("score", dot(F.col("vec"), F.col("qvec")))
+    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("qvec")
+    found = None
+    for k in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = table.join(F.broadcast(own), how="cross").withColumn("score", dot(F.col("vec"), F.col("qvec")))
+        ranked = pairs.withColumn("rank", F.row_number().over(w))
+        top = (ranked if limit is None else ranked.where(F.col("rank") <= limit)).drop("qvec")
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def upsert(table: DataFrame, changes: DataFrame) -> DataFrame:

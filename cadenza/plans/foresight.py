@@ -121,7 +121,7 @@ def reranked_hits(spark, d):
 
 def hierarchical_scores(spark, d):
     """Labels as directories, vectors as their documents: each 80% its own score and 20% its directory's."""
-    h = _hits(spark, d, 100_000)
+    h = _hits(spark, d, None)
     dirs = h.groupBy("query_id", "label").agg(F.max("score").alias("score")).select("query_id", (-F.col("label") - 1).cast("long").alias("id"), "score")
     kids = h.select("query_id", (-F.col("label") - 1).cast("long").alias("parent"), "id", F.col("score").alias("local"))
     return X.expanded(dirs, kids).withColumn("score", F.round("score", 6))

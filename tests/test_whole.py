@@ -52,3 +52,22 @@ def test_evidence_is_looked_for_in_every_document(spark):
     ev = spark.createDataFrame([(1, "cat sat"), (2, "a cat sat down there"), (3, "filler"), (4, "cat cat sat down")], "evidence_id int, evidence string")
     got = {(r["key"], r["evidence_id"]) for r in text.evidence_everywhere(ctx, ev).where("hit").collect()}
     assert got == {(77, 1), (78, 2), *((k, 3) for k in range(50))}
+
+
+def test_queries_beyond_a_block_are_searched(spark, monkeypatch):
+    from cadenza.operators import vectors
+
+    t = spark.range(6).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"))
+    q = spark.range(25).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("qvec"))
+    rows = lambda limit: sorted(tuple(r[c] for c in ("query_id", "id", "rank", "score")) for r in vectors.search_many(t, q, limit).collect())
+    whole = rows(2), rows(None)
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert (rows(2), rows(None)) == whole and [len(x) for x in whole] == [50, 150]
+
+
+def test_more_than_ten_thousand_queries(spark):
+    from cadenza.operators import vectors
+
+    t = spark.createDataFrame([(1, [1.0])], "id int, vec array<float>")
+    q = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("qvec"))
+    assert vectors.search_many(t, q, 1).count() == 10_001
