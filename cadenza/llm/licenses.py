@@ -1,12 +1,15 @@
 """License scans by sentence rules, by DataFrame functions only.
 
-Sentences of a text are normalised (lower case, runs of anything but letters, digits, dots and pluses as one space) and looked
-up among known licence sentences; a document's sequence of sentence identifiers is then matched against ordered rules: the
+Parts of a text are normalised (lower case, runs of anything but letters, digits, dots and pluses as one space) and known
+licence sentences are found in them, from one possible sentence end to another; a document's sequence of sentence identifiers is then matched against ordered rules: the
 first rule whose identifiers occur in this order names the licence. A document may match several licences.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +62,31 @@ RULES = (
 HIDES = {"BSD-3-Clause": ("BSD-2-Clause",)}
 
 
-def normalised(s: Column) -> Column:
+#: Stands in a part where a sentence may end.
+END = "\x01"
+
+
+def normalised(sentence: str) -> str:
     """Lower case; every run of other characters than letters, digits, dots and pluses is a space; no dot at the end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.+]+", " "), r"^[ .]+|[ .]+$", "")
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in ".+" else " " for c in sentence.lower()).split()).strip(" .")
+
+
+def parts(text: Column) -> Column:
+    """The parts of a text, cut at blank lines and semicolons."""
+    return F.split(F.coalesce(text, F.lit("")), r"\n\s*\n|;")
+
+
+def marked(part: Column) -> Column:
+    """A part, normalised, with END where a sentence may end: after . ! ? at a line's end or before a capital, after a colon at
+    a line's end, and at a line that starts with a capitalised word, which may as well be wrapped."""
+    ends = F.regexp_replace(part, r"(?<=[.!?:])[ \t\r]*\n|\n(?=\p{Lu}\p{Ll})|(?<=[.!?])[ \t]+(?=\p{Lu})", END)
+    return F.regexp_replace(F.regexp_replace(F.lower(ends), rf"[^\p{{L}}\p{{N}}.+{END}]+", " "), f"[ {END}]*{END}[ {END}]*", END)
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text: cut after . ! ? at a line's end or before a capital, at blank lines, and at a line that starts
-    with a capitalised word. Other line ends are taken as wrapping."""
-    return F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t]*\n|\n\s*\n|\n(?=\p{Lu}\p{Ll})|(?<=[.!?])[ \t]+(?=\p{Lu})")
+def _pattern(sentences: list[str]) -> str:
+    """Any of the sentences, normalised, between two possible ends; the longest first."""
+    words = [f"[ {END}]".join(re.escape(w) for w in s.split()) for s in sorted(sentences, key=len, reverse=True)]
+    return rf"(?:^|(?<={END}))[ .]*({'|'.join(words)})(?=[ .]*(?:{END}|$))"
 
 
 def _hiding(name: str, hidden: tuple[str, ...]):
@@ -78,15 +97,17 @@ def scanned(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) ->
     """docs with license_sentences (known identifiers in text order, each occurrence), licenses (of all rules that hold, in
     rule order, distinct) and license (the first, or null).
 
-    One pass, no shuffle. Only sentences that hold a cue word are normalised. A null or empty text has no sentences. Columns
+    One pass, no shuffle. Only parts that hold a cue word are normalised. A null or empty text has no sentences. Columns
     of docs with these names are replaced; rows are kept, repeated ones too.
     """
     docs = docs.drop("license_sentences", "licenses", "license")
     cue = "(?i)licen|permi|copyright|redistrib|software|warranty|compliance"
-    table_of = F.create_map(*[x for i, s in known.items() for x in (normalised(F.lit(s)), F.lit(i))])  # folded to one literal
+    table_of = F.create_map(*[F.lit(x) for i, s in known.items() for x in (normalised(s), i)])  # folded to one literal
+    pattern = F.lit(_pattern([normalised(s) for s in known.values()]))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    found = F.filter(F.transform(F.filter(sentences(text), lambda s: s.rlike(cue)), lambda s: F.try_element_at(table_of, normalised(s))), lambda x: x.isNotNull())
+    there = F.flatten(F.transform(F.filter(parts(text), lambda s: s.rlike(cue)), lambda s: F.regexp_extract_all(marked(s), pattern, F.lit(1))))
+    found = F.transform(there, lambda s: F.try_element_at(table_of, F.translate(s, END, " ")))
     none = F.array().cast("array<string>")
     # in a generator of one row: no filter on the results is pushed below it, where it would scan again
     out = docs.select("*", F.explode(F.array(F.when(text.rlike(cue), found).otherwise(none))).alias("license_sentences"))
