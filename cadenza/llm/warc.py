@@ -28,9 +28,11 @@ _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 _SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("headers", _HEADERS), ("block", pa.binary()), ("payload_digest", pa.string()), ("block_digest", pa.string())])
 
 # Elements that hold no text of the page, and elements that end a line.
-HIDDEN = ("script", "style", "noscript", "template", "head")
+HIDDEN = ("script", "style", "noscript", "template")
 LINES = ("p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "blockquote", "pre", "hr", "dt", "dd", "title")
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# A head ends, with or without its end tag, before the first thing that can't stand in one.
+_HEAD = r"<head\b[^>]*>(?:\s+|<!--.*?(?:-->|\Z)|<![^>]*>|</?(?:base|basefont|bgsound|link|meta)\b[^>]*>|<(?P<h>script|style|noscript|noframes|template|title)\b[^>]*>.*?(?:</(?P=h)\s*>|\Z)|</(?!(?:head|body|html|br)\b)[A-Za-z][^>]*>)*(?:</head\s*>)?"
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_HEAD}|<(?P<e>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=e)\s*>|\Z)", re.S | re.I)
 _LINES = re.compile(rf"</?(?:{'|'.join(LINES)})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 
@@ -84,13 +86,29 @@ def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines)], body
 
 
+# Headers that a derived record has of its own.
+OWN = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-refers-to", "warc-payload-digest", "warc-block-digest", "content-type", "content-length"}
+
+
+def agrees(claim: str | None, body: bytes) -> str:
+    """Whether a digest, of any algorithm known here, in base 32 or 16, is the body's; true where none is claimed."""
+    if claim is None:
+        return "true"
+    name, _, value = claim.strip().partition(":")
+    try:
+        own = hashlib.new(name.lower().replace("-", ""), body).digest()
+    except (ValueError, TypeError):
+        return "unknown"
+    return str(value.upper().rstrip("=") in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())).lower()
+
+
 def derived(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response among records; other types are passed over.
 
     The metadata record lists the HTTP status and headers as they came, the payload's digest as found and whether it agrees
     with the one that the response claims, and title and language of the page. The conversion record holds the page's text as
-    UTF-8. Source headers that WARC-Refers-To readers need (target, date, payload digest) come along. A response without a
-    body has an empty conversion. One pass, no shuffle.
+    UTF-8. The response's WARC headers come along, but those that a record has of its own; a claimed payload digest other than
+    the one found is WARC-Source-Payload-Digest. A response without a body has an empty conversion. One pass, no shuffle.
     """
     title, lang = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I), re.compile(r"<html[^>]*\blang=[\"']?([\w-]+)", re.I)
 
@@ -107,14 +125,18 @@ def derived(records: DataFrame) -> DataFrame:
                     page = body.decode("utf-8", "replace")
                 found, claims = digest(body), r["payload_digest"]
                 t, g = title.search(page), lang.search(page)
-                fields = [("http-status", status), *((f"http-{n.lower()}", v) for n, v in head), ("payload-digest", found), ("payload-digest-agrees", str(claims in (None, found)).lower())]
+                fields = [("http-status", status), *((f"http-{n.lower()}", v) for n, v in head), ("payload-digest", found), ("payload-digest-agrees", agrees(claims, body))]
+                fields += [("payload-digest-claimed", claims)] if claims not in (None, found) else []
                 fields += [("title", " ".join(html.unescape(t[1]).split()))] if t else []
                 fields += [("language", g[1])] if g else []
                 block = "".join(f"{n}: {v}\r\n" for n, v in fields).encode()
                 rid, uri, date = r["record_id"] or "", r["target_uri"] or "", r["date"] or DATE
-                rows.append(_record("metadata", uri, date, block, "application/warc-fields", record_id("metadata", rid), rid, found))
+                source = tuple((h["name"], h["value"] or "") for h in r["headers"] or () if h and (h["name"] or "").lower() not in OWN | {""})
+                source += (("WARC-Source-Payload-Digest", claims),) if claims not in (None, found) else ()
+                rows.append(_record("metadata", uri, date, block, "application/warc-fields", record_id("metadata", rid), rid, found, source))
                 text = plain_text(page).encode()
-                rows.append(_record("conversion", uri, date, text, "text/plain;charset=utf-8", record_id("conversion", rid), rid, found, (("WARC-Identified-Content-Language", g[1]),) if g else ()))
+                named = any(n.lower() == "warc-identified-content-language" for n, _ in source)
+                rows.append(_record("conversion", uri, date, text, "text/plain;charset=utf-8", record_id("conversion", rid), rid, found, (*source, *((("WARC-Identified-Content-Language", g[1]),) if g and not named else ()))))
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return records.where("type = 'response'").mapInArrow(run, RECORD)
