@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +10,26 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. A session that names none is refused, since
+    a folder of the driver's own can't be read by executors, unless all of it runs on one machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once into the reliable checkpoint folder that the session names; only a session without that setting,
-    as in tests on one machine, gets a temporary folder."""
+    """df, computed once into the reliable checkpoint folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -52,20 +64,32 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A node with more edges than SPLIT is dealt out in parts, the HUBS largest ones first; the others have at most a HUBS-th of all.
+SPLIT, HUBS = 256, 10_000
+
+
+def with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (a, b) with m, that low (a, m, and d, the number of a's edges) gives for a. The rows of a hub are dealt to as many
+    tasks as it has SPLIT edges: the hubs broadcast are HUBS at most."""
+    hubs = F.broadcast(low.orderBy(F.col("d").desc()).limit(HUBS).where(F.col("d") > SPLIT).select("a", F.ceil(F.col("d") / SPLIT).cast("int").alias("parts")))
+    left = edges.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("s"))
+    right = low.join(hubs, "a", "left").select("a", "m", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("s"))
+    return left.join(right, ["a", "s"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of `edges` (a, b: long): node and component, the least node reached.
+    """Connected components of `edges` (a, b of one ordered type): node and component, the least node reached.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each is a groupBy with partial minima and a join that
-    AQE can split at a hub; no neighbourhood is ever collected. The number of rounds grows with the logarithm of the
-    longest chain. An empty table gives an empty table."""
+    splits hubs; no neighbourhood is ever collected. The number of rounds grows with the logarithm of the longest chain. An
+    empty table gives an empty table."""
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    mark, degree = None, F.count(F.lit(1)).alias("d")
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), degree).select("a", F.least("a", "m").alias("m"), "d")
+        large = with_least(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"), degree))
         e = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == r:

@@ -1,17 +1,25 @@
 """Vectorised words and shingles of whole texts (numpy, one Arrow table at a time).
 
-A word is a run of bytes outside space and \\t..\\r. Its hash is a polynomial over its bytes modulo 2**64, mixed with its
-length, so equal words have equal hashes in every process. Two different words collide with probability near 2**-64.
+A word is a run of bytes outside space and \\t..\\r. Its hash runs a mixer over lanes of eight bytes: words of up to eight bytes
+with different bytes never collide, longer ones by chance alone (64 bits); words over LONG bytes are hashed by BLAKE2b. No
+hash is linear in a word's bytes or in a shingle's words, so no pattern of letters or words cancels out. `wide` words have a
+second, independent hash, for what must be decided on 128 bits. Equal words have equal hashes in every process.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
+_STEP = U(0xD6E8FEB86659FD93)
+#: Start values and lane multipliers of the two hashes of a word.
+_STARTS, _LANES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)), (U(1), U(0x165667B19E3779F9))
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,22 +29,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def chained(state: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The state after one more word's hash: different states or hashes give different states."""
+    return (state ^ (state >> U(29))) * _STEP + h
+
+
+def _hashed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """One of the two hashes of each word raw[begin : begin + size]; raw goes on for eight bytes after the last."""
+    lanes = np.lib.stride_tricks.sliding_window_view(raw, 8)
+
+    def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return (lanes[at].view("<u8").reshape(-1) & _MASKS[np.minimum(left, 8)]) * _LANES[which]
+
+    h = mix(lane(begin, size) ^ (_STARTS[which] + size.astype(U) * _STEP))
+    for at in range(8, LONG, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            return h
+        h[more] = mix(h[more] * _STEP ^ lane(begin[more] + at, size[more] - at))
+    for i in np.flatnonzero(size > LONG).tolist():
+        full = hashlib.blake2b(raw[begin[i] : begin[i] + size[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(full[8 * which : 8 * which + 8], "little")
+    return h
 
 
 class Words:
-    """hashes: one of each word, in order; counts and first: how many words each text has, and its first word's index.
-    begin and end: the words' byte ranges in data."""
+    """hashes: one of each word, in order; others: a second one, of wide words; counts and first: how many words each text has,
+    and its first word's index. begin and end: the words' byte ranges in data."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        self.data = b"\n".join(texts) + b"\n"
+    def __init__(self, texts: list[bytes], lower: bool = False, wide: bool = False):
+        self.data = b"\n".join(texts) + b"\n" + bytes(8)
         raw = np.frombuffer(self.data, np.uint8)
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         inside = ~SPACE[raw]
+        inside[-8:] = False
         edge = np.diff(inside.astype(np.int8), prepend=0)
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         size = self.end - self.begin
@@ -44,30 +71,26 @@ class Words:
         stop = np.searchsorted(self.begin, ends)
         self.first = np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.counts = stop - self.first
-        if len(size):
-            at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            place = np.arange(int(size.sum())) - np.repeat(at, size)
-            value = (raw[inside].astype(U) + U(1)) * _powers(int(size.max()))[place]
-            self.hashes = mix(np.add.reduceat(value, at) ^ (size.astype(U) * _STEP))
-        else:
-            self.hashes = np.zeros(0, U)
-
-    def grams(self, n: int) -> np.ndarray:
+        self.hashes = _hashed(raw, self.begin, size, 0)
+        self.others = _hashed(raw, self.begin, size, 1) if wide else None
+
+    def grams(self, n: int, second: bool = False) -> np.ndarray:
         """Hash of the n words from each word on; the last n - 1 of the table's words have none. Windows that run over a
         text's end are there too: take the first counts - n + 1 of each text."""
-        h, m = self.hashes, max(0, len(self.hashes) - n + 1)
-        out = np.zeros(m, U)
+        h = self.others if second else self.hashes
+        m = max(0, len(h) - n + 1)
+        out = np.full(m, U(n))
         for i in range(n):
-            out = out * _STEP + h[i : i + m]
-        return mix(out + U(n))
+            out = chained(out, h[i : i + m])
+        return mix(out)
 
     def short(self, i: int) -> np.ndarray:
         """The hash of text i's whole word sequence, as an array of one; none without words."""
         lo, n = self.first[i], self.counts[i]
-        out = np.zeros(min(1, n), U)
+        out = np.full(min(1, n), U(n))
         for h in self.hashes[lo : lo + n]:
-            out = out * _STEP + h
-        return mix(out + U(n))
+            out = chained(out, h)
+        return mix(out)
 
     def shingles(self, n: int = 5) -> list[np.ndarray]:
         """Each text's sorted distinct n-word shingles; of fewer words, the whole sequence as one."""
@@ -97,17 +120,6 @@ def sliding_min(a: np.ndarray, n: int) -> np.ndarray:
     return a
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1).astype(U)
-
-
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of n nodes reaches by the links a-b."""
     label = np.arange(n)

@@ -1,6 +1,7 @@
 """Which hashes do texts share? A question that buckets of documents put to blocks of hashes.
 
-Documents are dealt into buckets by a hash of the whole row. Each bucket sends every block of the hash space its *distinct*
+Documents are dealt into buckets by a hash of the row and of the input partition it comes from, so repetitions of one row
+spread too. Each bucket sends every block of the hash space its *distinct*
 hashes once, with what it knows of them; the block merges the buckets' lists and answers each bucket in the order it asked.
 So a passage that a third of all documents hold costs one entry a bucket, not one a document, in both directions, and no
 task gets a key's occurrences together. The exchange of texts is the same plan node at each use, which Spark reuses.
@@ -22,8 +23,9 @@ ANSWER = "bucket int, block int, answer binary"
 
 
 def buckets(docs: DataFrame, n: int) -> DataFrame:
-    """docs with its bucket of n, by a hash of id and text."""
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    """docs with its bucket of n, by a hash of id, text and input partition: a row that is repeated all over the table isn't
+    gathered, and a lost task deals its rows again as before."""
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
 
 
 def texts(t: pa.Table) -> list[bytes]:
@@ -62,9 +64,10 @@ def asks(rows: list[tuple[int, bytes]], bucket: int) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "asked": pa.array([x for _, x in rows], pa.binary())})
 
 
-def answers(asked: DataFrame, width: int, kinds: list[str], merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+def answers(asked: DataFrame, width: int, kinds: list[str], merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray], paired: bool = False) -> DataFrame:
     """Each bucket's answers. merge gets, for a block's entries of all buckets sorted by key, the index of each entry's key
-    and where keys start, and the known arrays; it returns one fixed-width value an entry, which goes back in the order asked."""
+    and where keys start, and the known arrays; it returns one fixed-width value an entry, which goes back in the order asked.
+    paired: the first known array is the second half of the key."""
     item = width + sum(np.dtype(k).itemsize for k in kinds)
 
     def answer(t: pa.Table) -> pa.Table:
@@ -79,12 +82,13 @@ def answers(asked: DataFrame, width: int, kinds: list[str], merge: Callable[[np.
             for k, parts in zip(kinds, known, strict=True):
                 parts.append(np.frombuffer(r, k, n, at))
                 at += n * np.dtype(k).itemsize
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, known = np.concatenate(keys), [np.concatenate(k) for k in known]
+        order = np.lexsort((known[0], key)) if paired else np.argsort(key, kind="stable")
+        key, known = key[order], [k[order] for k in known]
+        new = key[1:] != key[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], new | (known[0][1:] != known[0][:-1]) if paired else new]))
         index = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-        value = merge(index, starts, [np.concatenate(k)[order] for k in known])
+        value = merge(index, starts, known[1:] if paired else known)
         back = np.empty_like(value)
         back[order] = value
         ends = np.cumsum(sizes)

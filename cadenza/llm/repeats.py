@@ -5,9 +5,11 @@
    fifth of the words are anchors.
 2. Extension. Around a shared anchor, every 13-word window that it was chosen for is a match extended both ways from the
    seed. Buckets ask for the least doc_id of each such window.
-3. Maximal repeats. Windows that an earlier document holds too are merged: a run of them is a repeat that can't be extended.
+3. Maximal repeats. Windows that an earlier document holds too are merged: a run of them with one earliest holder is a repeat
+   that can't be extended with it.
 
-Windows are judged on the input. A passage in a third of all documents costs one entry a bucket.
+Anchors only select, so they are compared on a part of a 64-bit hash. What removes a word is compared on two independent
+hashes of the window, 120 bits or more together. Windows are judged on the input. A passage in a third of all documents costs one entry a bucket.
 """
 
 from __future__ import annotations
@@ -28,34 +30,41 @@ U = np.uint64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
 
-def _grouped(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, the least and the largest doc of each, and the index of each entry's key."""
-    once, index = np.unique(keys, return_inverse=True)
-    low, high = np.full(len(once), LAST), np.full(len(once), np.iinfo(np.int64).min)
-    np.minimum.at(low, index, doc)
-    np.maximum.at(high, index, doc)
-    return once, low, high, index
+def _grouped(doc: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys (of one or more parts), the least and the largest doc of each, and the index of each entry's key."""
+    order = np.lexsort(keys[::-1])
+    keys, doc = [k[order] for k in keys], doc[order]
+    new = np.zeros(len(doc), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start, index = np.flatnonzero(new), np.empty(len(doc), np.int64)
+    index[order] = np.cumsum(new) - 1
+    ends = [f.reduceat(doc, start) if len(start) else doc for f in (np.minimum, np.maximum)]
+    return [k[start] for k in keys], *ends, index
 
 
 class _Bucket:
     """Words, windows and anchors of a bucket's texts, in the order of its rows."""
 
-    def __init__(self, t: pa.Table, length: int, seed: int):
-        self.words = Words(X.texts(t))
+    def __init__(self, t: pa.Table, length: int, seed: int, keep: np.uint64, keep2: np.uint64 | None = None):
+        self.words = Words(X.texts(t), wide=keep2 is not None)
         self.doc = np.array([LAST if d is None else d for d in X.ids(t)], np.int64)
         self.start, self.of = windows(self.words.hashes, self.words, length)
         least = sliding_min(self.words.grams(seed), length - seed + 1)
-        self.anchor = least[self.start] if len(self.start) else np.zeros(0, U)
-        self.length = length
+        self.anchor = least[self.start] & keep if len(self.start) else np.zeros(0, U)
+        self.length, self.keep2 = length, keep2
 
     def anchors(self):
-        return _grouped(self.anchor, self.doc[self.of])
+        (once,), *rest = _grouped(self.doc[self.of], self.anchor)
+        return once, *rest
 
     def matches(self, shared: np.ndarray):
-        """Windows whose anchor is shared: their indices, and their hashes grouped. shared: for each distinct anchor."""
+        """Windows whose anchor is shared: their indices, and both their hashes grouped. shared: for each distinct anchor."""
         at = np.flatnonzero(shared[self.anchors()[3]]) if len(self.anchor) else np.zeros(0, int)
-        whole = self.words.grams(self.length)
-        return at, _grouped(whole[self.start[at]] if len(at) else np.zeros(0, U), self.doc[self.of[at]])
+        start = self.start[at]
+        first, second = (self.words.grams(self.length, k)[start] if len(at) else np.zeros(0, U) for k in (False, True))
+        return at, _grouped(self.doc[self.of[at]], first & self.keep2, second)
 
 
 def _shared(index: np.ndarray, starts: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
@@ -72,8 +81,9 @@ def _least(index: np.ndarray, starts: np.ndarray, known: list[np.ndarray]) -> np
 
 def removed(docs: DataFrame, length: int = 13, seed: int = 5, carry: bool = False) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_words, n_removed, kept (the text: itself if nothing is removed,
-    else the kept words joined by one space), kept_sha256 (of the kept words so joined) and spans (the removed maximal
-    repeats as pairs of first word and word after the last).
+    else the kept words joined by one space), kept_sha256 (of the kept words so joined) and spans (the maximal repeats by
+    their first word: that, the word after the last, and the least doc_id that holds the passage; those of two holders may
+    overlap, and all together cover the removed words).
 
     Words are runs of non-space bytes, unchanged. Null, empty and blank texts have none: their sha256 is that of an empty
     text; kept is null for a null text. Rows with one doc_id are one document to this rule and keep what they share. A null
@@ -92,48 +102,43 @@ def removed(docs: DataFrame, length: int = 13, seed: int = 5, carry: bool = Fals
     keep2 = U(0xFFFFFFFFFFFFFFFF) << U(64 - bits2 - 8 * wide)
     dealt = X.buckets(docs, n_buckets)
 
-    def load(t: pa.Table) -> _Bucket:
-        b = _Bucket(t, length, seed)
-        b.anchor &= keep
-        return b
-
-    def found(b: _Bucket, got: pa.Table):
-        at, _ = b.matches(X.answered(got, "u1"))
-        whole = b.words.grams(length)
-        return at, _grouped(whole[b.start[at]] & keep2 if len(at) else np.zeros(0, U), b.doc[b.of[at]])
-
     def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        once, low, high, _ = load(t).anchors()
+        once, low, high, _ = _Bucket(t, length, seed, keep).anchors()
         return X.asks(X.asking(once, bits, width, [(low < high).astype(np.uint8)]), key[0].as_py())
 
     def extend(key: tuple[pa.Scalar, ...], t: pa.Table, got: pa.Table) -> pa.Table:
-        _, (once, low, _, _) = found(load(t), got)
-        return X.asks(X.asking(once, bits2, wide, [low]), key[0].as_py())
+        _, ((first, second), low, _, _) = _Bucket(t, length, seed, keep, keep2).matches(X.answered(got, "u1"))
+        return X.asks(X.asking(first, bits2, wide, [second, low]), key[0].as_py())
 
     def cover(key: tuple[pa.Scalar, ...], t: pa.Table, got: pa.Table) -> pa.Table:
-        b = load(t)
-        first, second = got.filter(pc.equal(got.column("step"), 1)), got.filter(pc.equal(got.column("step"), 2))
-        at, (_, _, _, index) = found(b, first)
-        low = X.answered(second, "i8")
-        hit = at[low[index] < b.doc[b.of[at]]] if len(at) else at
+        b = _Bucket(t, length, seed, keep, keep2)
+        step = [got.filter(pc.equal(got.column("step"), i)) for i in (1, 2)]
+        at, (_, _, _, index) = b.matches(X.answered(step[0], "u1"))
+        low = X.answered(step[1], "i8")[index] if len(at) else np.zeros(0, np.int64)
+        earlier = low < b.doc[b.of[at]]
+        hit, low = b.start[at[earlier]], low[earlier]
+        # runs of neighbouring windows of one text with one earliest holder
+        run = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(low) != 0)])) if len(hit) else np.zeros(0, int)
+        begin, end, holder = hit[run], hit[np.append(run[1:], len(hit)) - 1] + length if len(run) else run, low[run]
         mark = np.zeros(len(b.words.hashes) + 1, np.int64)
-        np.add.at(mark, b.start[hit], 1)
-        np.add.at(mark, b.start[hit] + length, -1)
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, end, -1)
         gone = np.cumsum(mark[:-1]) > 0
         out, raw = [], t.column("text").to_pylist()
         for i, (doc, lo, n) in enumerate(zip(X.ids(t), b.words.first.tolist(), b.words.counts.tolist(), strict=True)):
             g = gone[lo : lo + n]
-            edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
+            own = slice(*np.searchsorted(begin, [lo, lo + n]))
+            spans = np.stack([begin[own] - lo, end[own] - lo, holder[own]], 1).tolist()
             stays = [b.words.data[x:y] for x, y in zip(b.words.begin[lo : lo + n][~g].tolist(), b.words.end[lo : lo + n][~g].tolist(), strict=True)]
             kept = b" ".join(stays)
-            out.append((doc, n, int(g.sum()), raw[i] if not g.any() else kept.decode(), hashlib.sha256(kept).hexdigest(), edge.reshape(-1, 2).tolist()))
+            out.append((doc, n, int(g.sum()), raw[i] if not g.any() else kept.decode(), hashlib.sha256(kept).hexdigest(), spans))
         names = ("doc_id", "n_words", "n_removed", "kept", "kept_sha256", "spans")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64())))
         return pa.table({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(names, kinds, strict=True))} | {"row": t.column("row")})
 
     texts = dealt.groupBy("bucket")
     first = X.answers(texts.applyInArrow(ask, X.ASK), width, ["u1"], _shared)
-    second = X.answers(texts.cogroup(first.groupBy("bucket")).applyInArrow(extend, X.ASK), wide, ["i8"], _least)
+    second = X.answers(texts.cogroup(first.groupBy("bucket")).applyInArrow(extend, X.ASK), wide, ["<u8", "i8"], _least, paired=True)
     both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
     return texts.cogroup(both.groupBy("bucket")).applyInArrow(cover, f"doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, spans array<array<long>>, row {row_type}")
 

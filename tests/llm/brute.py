@@ -18,6 +18,7 @@ def shingles(text, n=5):
 
 
 def near_copies(rows):
+    """doc_id, size of the set, least doc_id reached, and other rows linked with."""
     sets = [(d, shingles(t)) for d, t in rows]
     root = list(range(len(sets)))
 
@@ -26,7 +27,7 @@ def near_copies(rows):
             i = root[i]
         return i
 
-    holders = defaultdict(list)
+    links, holders = [0] * len(sets), defaultdict(list)
     for i, (_, s) in enumerate(sets):
         for g in s:
             holders[g].append(i)
@@ -34,12 +35,14 @@ def near_copies(rows):
     for i, j in pairs:
         a, b = sets[i][1], sets[j][1]
         if 100 * len(a & b) >= 75 * len(a | b):
+            links[i] += 1
+            links[j] += 1
             root[max(find(i), find(j))] = min(find(i), find(j))
     low = defaultdict(list)
     for i, (d, _) in enumerate(sets):
         if d is not None:
             low[find(i)].append(d)
-    return sorted((str(d), len(s), str(min(low[find(i)], default=None))) for i, (d, s) in enumerate(sets))
+    return sorted((str(d), len(s), str(min(low[find(i)], default=None)), links[i]) for i, (d, s) in enumerate(sets))
 
 
 def repeats(rows, length=13):

@@ -46,10 +46,14 @@ def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+def links_of(df, **how):
+    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard.near_copies(df, **how).collect())
+
+
 @pytest.mark.parametrize("table", ["docs", "odd", "none"])
 def test_op1(request, table):
     df = request.getfixturevalue(table)
-    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.near_copies(df).collect())
+    got = links_of(df)
     assert got == brute.near_copies(pairs(df))
 
 
@@ -69,10 +73,35 @@ def near_threshold(spark, n=60, words=120):
 @pytest.mark.parametrize("half", [True, False])
 def test_op1_large_groups_in_chunks(spark, chunk, half):
     df = near_threshold(spark)
-    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.near_copies(df, chunk=chunk, half=half).collect())
+    got = links_of(df, chunk=chunk, half=half)
     assert got == brute.near_copies(pairs(df))
 
 
+@pytest.mark.parametrize("cell", [300, 2000])
+def test_op1_large_groups_by_classes_alone(spark, cell, monkeypatch):
+    df = near_threshold(spark)
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    want = brute.near_copies(pairs(df))
+    assert links_of(df, chunk=4) == want
+    assert [r[:3] for r in links_of(df, chunk=4, links=False)] == [r[:3] for r in want]
+
+
+def test_overlaps(monkeypatch):
+    rng = random.Random(4)
+    base = rng.sample(range(300), 100)
+    sets = [{*base[: rng.randrange(0, 101)], *rng.sample(range(300), rng.randrange(0, 12))} for _ in range(70)]
+    arrays = [jaccard.np.array(sorted(x), jaccard.U) for x in sets]
+    want = {(i, j) for j in range(70) for i in range(j) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    for light, rows in ((0, 512), (64, 7), (10**9, 7)):
+        monkeypatch.setattr(jaccard, "LIGHT", light)
+        monkeypatch.setattr(jaccard, "ROWS", rows)
+        assert jaccard.overlaps(arrays[:30], arrays[30:]).tolist() == [[len(a & b) for b in sets[30:]] for a in sets[:30]]
+        got = [tuple(sorted((int(a), int(b)))) for i, j in jaccard.linked(arrays, None, 75) for a, b in zip(i, j, strict=True)]
+        assert sorted(got) == sorted(want) and len(want) > 100
+        got = [(int(a), int(b)) for i, j in jaccard.linked(arrays[:30], arrays[30:], 75) for a, b in zip(i, j, strict=True)]
+        assert sorted(got) == sorted((i, j - 30) for i, j in want if i < 30 <= j)
+
+
 def test_op1_sizes_about_the_limits(spark):
     rng, rows = random.Random(7), []
     for i in range(120):
@@ -82,7 +111,7 @@ def test_op1_sizes_about_the_limits(spark):
             w[rng.randrange(len(w))] = f"x{rng.random()}"
         rows.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.near_copies(df).collect())
+    got = links_of(df)
     assert got == brute.near_copies(pairs(df))
 
 
@@ -95,8 +124,39 @@ def test_op9(request, table):
 
 def test_op9_spans_are_maximal(odd):
     for r in repeats.removed(odd).collect():
-        assert sum(b - a for a, b in r["spans"]) == r["n_removed"]
-        assert all(b - a >= 13 for a, b in r["spans"]) and all(x[1] < y[0] for x, y in zip(r["spans"], r["spans"][1:], strict=False))
+        assert len({i for a, b, _ in r["spans"] for i in range(a, b)}) == r["n_removed"]
+        assert all(b - a >= 13 and d < (r["doc_id"] or 1 << 62) for a, b, d in r["spans"]) and r["spans"] == sorted(r["spans"], key=lambda x: x[0])
+        assert all(x[1] - y[0] < 13 for x, y in zip(r["spans"], r["spans"][1:], strict=False) if x[2] == y[2])
+
+
+def test_op9_spans_of_two_holders_stay_apart(spark):
+    a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(20)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[:15] + b[:15])), (4, " ".join(a + ["x"] + a[3:18]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in repeats.removed(df).collect()}
+    assert got == {1: [], 2: [], 3: [[0, 15, 1], [15, 30, 2]], 4: [[0, 20, 1], [21, 36, 1]]}
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 1024, 4096])
+def test_words_of_two_letters_that_cancel_out(spark, n):
+    """Thue-Morse words and their complements have equal sums under any base modulo a power of two."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rows = [(1, x), (2, y), (3, " ".join(["w"] * 12 + [x])), (4, " ".join(["w"] * 12 + [y])), (5, " ".join(["v"] * 12 + [x])), (6, " ".join(["v"] * 12 + [x]))]
+    rows += [(7, thue_morse(n, "a ", "b ")), (8, thue_morse(n, "b ", "a "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert links_of(df) == brute.near_copies(rows)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.removed(df).collect()) == brute.repeats(rows)
+
+
+def test_repeated_rows_spread(spark):
+    """A row that is repeated in every partition isn't gathered in one bucket or group."""
+    from cadenza.llm import exchange
+
+    df = spark.range(4000).repartition(40).select(F.lit(1).alias("doc_id"), F.lit("a b c").alias("text"))
+    assert exchange.buckets(df, 40).groupBy("bucket").count().agg(F.max("count")).first()[0] < 1000
 
 
 @pytest.mark.parametrize("table", ["docs", "odd", "none"])
@@ -336,7 +396,7 @@ def test_op1_and_op9_in_many_buckets(docs, monkeypatch):
     monkeypatch.setattr(exchange, "MESSAGE", 1)
     monkeypatch.setattr(exchange, "shape", lambda n, per, f=exchange.shape: f(n, 9_000))
     assert exchange.shape(500_000, 0)[0] > 20 and exchange.shape(500_000, 0)[1] > 3
-    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.near_copies(docs).collect())
+    got = links_of(docs)
     assert got == brute.near_copies(pairs(docs))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.removed(docs).collect())
     assert got == brute.repeats(pairs(docs))
