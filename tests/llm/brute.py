@@ -76,3 +76,38 @@ def rules(text):
         at[tuple(w[i : i + 8])].append(i)
     rep = {i + j for p in at.values() if len(p) > 1 for i in p for j in range(8)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(rep)
+
+
+def license_sentences(text, known):
+    """Identifiers of known sentences in a text: from one possible end of a sentence to another, the longest first, left to right."""
+    def plain(x):
+        return " ".join(re.sub(r"[^\w.+]|_", " ", x.lower()).split())
+
+    of = {}
+    for i, s in known.items():
+        of.setdefault(plain(s).strip(" ."), i)
+    of.pop("", None)
+    out = []
+    for part in re.split(r"\n\s*\n|;", text or ""):
+        part = re.sub(r"(SPDX-License-Identifier:[^\n]{1,40})\n", r"\1.\n", part)
+        pieces = [plain(x) for x in re.split(r"(?<=[.!?:])[ \t\r]*\n|\n(?=[A-Z][a-z])|(?<=[.!?])[ \t]+(?=[A-Z])", part)]
+        pieces = [x for x in pieces if x]
+        at = 0
+        while at < len(pieces):
+            ends = [j for j in range(len(pieces), at, -1) if " ".join(pieces[at:j]).strip(" .") in of]
+            if ends:
+                out.append(of[" ".join(pieces[at : ends[0]]).strip(" .")])
+            at = ends[0] if ends else at + 1
+    return out
+
+
+def licenses(found, rules, hides):
+    out = []
+    for name, ids in rules:
+        it = iter(found)
+        if all(i in it for i in ids) and name not in out:
+            out.append(name)
+    for name, hidden in hides.items():
+        if name in out:
+            out = [x for x in out if x not in hidden]
+    return out

@@ -371,6 +371,7 @@ def test_op10(spark, odd, none, docs):
     df = spark.createDataFrame([(1, text), (2, grant), (3, bsd), (4, mixed), (5, None), (6, "licence of no kind"), (7, gpl), (8, text + "\n" + "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.scanned(df).collect()}
     assert got[1] == ["MIT"] and got[2] == ["MIT"] and got[3] == ["BSD-3-Clause"] and got[4] == [] and got[5] == [] and got[6] == []
+    assert got[7] == ["GPL-3.0-or-later"]
     assert got[8] == ["MIT", "CC-BY-NC-4.0"]
     assert licenses.scanned(odd).count() == odd.count() and licenses.scanned(none).count() == 0
     planted = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
