@@ -89,8 +89,8 @@ def license_sentences(text, known):
     of.pop("", None)
     out = []
     for part in re.split(r"\n\s*\n|;", text or ""):
-        part = re.sub(r"(SPDX-License-Identifier:[^\n]{1,40})\n", r"\1.\n", part)
-        pieces = [plain(x) for x in re.split(r"(?<=[.!?:])[ \t\r]*\n|\n(?=[A-Z][a-z])|(?<=[.!?])[ \t]+(?=[A-Z])", part)]
+        part = re.sub(r"(SPDX-License-Identifier:[^\n]{1,40})\n", "\\1\x01\n", part)
+        pieces = [plain(x) for x in re.split(r"\x01\n|(?<=[.!?:])[ \t\r]*\n|\n(?=[A-Z][a-z])|(?<=[.!?])[ \t]+(?=[A-Z])", part)]
         pieces = [x for x in pieces if x]
         at = 0
         while at < len(pieces):
