@@ -2,8 +2,9 @@
 
 Features are indicators of hashed n-grams: words, word pairs, and words' shapes (letters as x or X, digits as 0) with their
 pairs. Each is scaled by its class log-count ratio over all labelled training documents, and a linear hinge-loss model is
-fitted by dual coordinate descent on a bounded sample of them. Margins become probabilities by a logistic curve fitted on
-folds that the model for them hasn't seen.
+fitted by dual coordinate descent on a bounded sample of them, the same number of each class if there are as many. Margins
+become probabilities by a logistic curve fitted on folds that neither the ratios nor the model for them have seen; its offset
+is then moved from the sample's part of each class to that of all labelled documents.
 """
 
 from __future__ import annotations
@@ -50,20 +51,22 @@ def _raw(b: pa.RecordBatch) -> list[bytes]:
 
 def counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """How many rows (text, label) of each class hold each feature: per block of features (block) the numbers of the negative
-    and of the positive rows (held: 64-bit, one class after the other). Each task sums first and sends one row a block."""
+    and of the positive rows (held: 64-bit, one class after the other); block -1: the rows of each class. Each task sums first
+    and sends one row a block."""
     width = 1 << max(0, bits - BLOCK_BITS)
     schema = "block int, held binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), np.int32)
+        total, n = np.zeros((2, 1 << bits), np.int32), np.zeros(2, np.int32)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 c = b.slice(i, 1000)
                 for f, y in zip(features(_raw(c), bits), c["label"].to_pylist(), strict=True):
                     total[int(y), f] += 1
-        if total.any():
+                    n[int(y)] += 1
+        if n.any():
             blocks = range((1 << bits) // width)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "held": pa.array([total[:, i * width : (i + 1) * width].tobytes() for i in blocks], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([-1, *blocks], pa.int32()), "held": pa.array([n.tobytes(), *(total[:, i * width : (i + 1) * width].tobytes() for i in blocks)], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t.column("held"))
@@ -72,14 +75,22 @@ def counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema)
 
 
-def ratios(count: DataFrame, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
-    """Log-count ratio of each feature: a vector of 2**bits numbers, whatever the corpus."""
+def gathered(count: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The counts as two vectors of 2**bits numbers, whatever the corpus, and the rows of each class."""
     width = 1 << max(0, bits - BLOCK_BITS)
-    held = np.full((2, 1 << bits), alpha)
+    held, n = np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
     got = count.toArrow()
     for block, x in zip(got.column("block").to_pylist(), got.column("held").to_pylist(), strict=True):
-        held[:, block * width : (block + 1) * width] += np.frombuffer(x, np.int64).reshape(2, width)
-    share = np.log(held / held.sum(axis=1, keepdims=True))
+        if block < 0:
+            n += np.frombuffer(x, np.int64)
+        else:
+            held[:, block * width : (block + 1) * width] += np.frombuffer(x, np.int64).reshape(2, width)
+    return held, n
+
+
+def ratios(held: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Log-count ratio of each feature, smoothed by alpha."""
+    share = np.log((held + alpha) / (held + alpha).sum(axis=1, keepdims=True))
     return (share[1] - share[0]).astype(np.float32)
 
 
@@ -133,27 +144,33 @@ class Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, folds: int = 4, seed: int = 1) -> Model:
-    """A model of docs (doc_id, text) by labels (doc_id, label 0 or 1; rows with a null left out). Log-count ratios are over all
-    labelled rows; the hinge model is fitted on those of at most `sample` labels of each class, of least hash of doc_id, so
-    runs agree. With rows of one class or none, the score is that class's part of all, one half without rows.
+    """A model of docs (doc_id, text) by labels (doc_id, label). Rows with a null or a label other than 0 and 1 are left out; an id
+    with several labels has the least. Log-count ratios are over all labelled rows; the hinge model is fitted on at most
+    `sample` ids of each class, those of least hash, each with its row of least checksum, so runs agree. Rows with one id are
+    each counted, null and empty texts too. With rows of one class or none, the score is that class's part of all, one half
+    without rows.
 
     Up to FEW labels are broadcast to the documents; beyond, both are shuffled by doc_id, once."""
     docs = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    labels = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).where("doc_id is not null and label in (0, 1)")
+    labels = labels.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     few = labels.limit(FEW + 1).count() <= FEW
-    r = ratios(counts(docs.join(F.broadcast(labels) if few else labels, "doc_id").select("text", "label"), bits), bits)
+    rows = docs.join(F.broadcast(labels) if few else labels, "doc_id")
+    held, n = gathered(counts(rows.select("text", "label"), bits), bits)
     order = F.xxhash64("doc_id", F.lit(seed))
     least = [labels.where(F.col("label") == y).withColumn("h", order).orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"f": pa.array([f.tobytes() for f in features(_raw(b), bits)], pa.binary()), "h": b["h"], "label": b["label"]})
-
-    # 2 * sample labels at most are broadcast; rows beyond twice that come of repeated ids alone
-    got = docs.join(F.broadcast(least[0].unionAll(least[1])), "doc_id").select("text", "h", "label").mapInArrow(run, "f binary, h long, label int").limit(4 * sample).toArrow()
-    picked = sorted(zip(got.column("h").to_pylist(), got.column("label").to_pylist(), got.column("f").to_pylist(), strict=True))
-    picked = [(np.frombuffer(f, np.int32), y) for _, y, f in picked]
-    x, y = [f for f, _ in picked], np.array([2 * v - 1 for _, v in picked])
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "h": b["h"], "label": b["label"], "key": b["key"], "f": pa.array([f.tobytes() for f in features(_raw(b), bits)], pa.binary())})
+
+    # 2 * sample labels at most are broadcast, and one row for each comes to the driver
+    some = docs.join(F.broadcast(least[0].unionAll(least[1])), "doc_id").select("doc_id", "h", "label", F.md5("text").alias("key"), "text")
+    some = some.mapInArrow(run, "doc_id long, h long, label int, key string, f binary")
+    got = some.groupBy("doc_id").agg(F.min(F.struct("key", "h", "label", "f")).alias("r")).select("r.h", "doc_id", "r.label", "r.f").toArrow()
+    picked = sorted(zip(*(got.column(c).to_pylist() for c in ("h", "doc_id", "label", "f")), strict=True))
+    x, y = [np.frombuffer(f, np.int32) for *_, f in picked], np.array([2 * v - 1 for _, _, v, _ in picked])
+    r = ratios(held)
     if len(set(y.tolist())) < 2:
         p = 0.5 if not len(y) else float(y[0] > 0)
         return Model(np.zeros(1 << bits), 0.0, r, 0.0, float(np.log((p + 1e-6) / (1 - p + 1e-6))), bits)
@@ -161,8 +178,16 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int =
     m = np.zeros(len(y))
     for k in range(folds):
         i, o = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        m[o] = margins([x[j] for j in o], r, *descend([x[j] for j in i], y[i], r, seed=seed))
+        if not len(o) or len(set(y[i].tolist())) < 2:
+            continue
+        seen = held.copy()
+        for j in o:
+            seen[int(y[j] > 0), x[j]] -= 1
+        apart = ratios(seen)
+        m[o] = margins([x[j] for j in o], apart, *descend([x[j] for j in i], y[i], apart, seed=seed))
+    up = (y > 0).sum()
     slope, offset = logistic(m, (y > 0).astype(float))
+    offset += float(np.log(n[1] / n[0]) - np.log(up / (len(y) - up)))
     w, bias = descend(x, y, r, seed=seed)
     return Model(w, bias, r, slope, offset, bits)
 

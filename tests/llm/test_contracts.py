@@ -349,6 +349,75 @@ def test_op6(spark):
     assert right > 0.95 * len(rows) and auc > 0.97
 
 
+def small_corpus(spark, n=400, part=0.5, seed=6):
+    """Two kinds of text that share most words; some of either kind look like the other."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        y = int(rng.random() < part)
+        own = [f"{'good' if (rng.random() < 0.7) == bool(y) else 'bad'}{rng.randrange(40)}" for _ in range(rng.randrange(1, 8))]
+        w = own + [f"w{rng.randrange(200)}" for _ in range(rng.randrange(0, 30))]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), y))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, label int")
+
+
+def test_op6_against_plain_naive_bayes_support_vectors(spark):
+    """Ratios over words and pairs counted one by one, and the optimum of the hinge loss."""
+    np = quality.np
+    rows, df = small_corpus(spark)
+    held, n = quality.gathered(quality.counts(df, 16), 16)
+    assert n.tolist() == [sum(y == k for _, _, y in rows) for k in (0, 1)]
+    fs = quality.features([t.encode() for _, t, _ in rows], 16)
+    want = [Counter(), Counter()]
+    for f, (_, _, y) in zip(fs, rows, strict=True):
+        want[y].update(f.tolist())
+    assert all({i: int(v) for i, v in enumerate(held[k]) if v} == dict(want[k]) for k in (0, 1))
+    total = [sum(c.values()) + (1 << 16) for c in want]
+    r = quality.ratios(held)
+    for i in list(want[0])[:300]:
+        assert abs(r[i] - (np.log((want[1][i] + 1) / total[1]) - np.log((want[0][i] + 1) / total[0]))) < 1e-5
+    # the gap between primal and dual objective of the hinge loss closes
+    y = np.array([2 * v - 1 for _, _, v in rows])
+    x = [r[f] / np.sqrt((r[f] ** 2).sum()) for f in fs]
+    most = 0.1 * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    def primal(w, bias):
+        loss = np.array([max(0.0, 1 - t * (float(w[f] @ v) + bias)) for f, v, t in zip(fs, x, y, strict=True)])
+        return 0.5 * (w @ w + bias * bias) + most @ loss
+    short, long = (primal(*quality.descend(fs, y, r, epochs=e)) for e in (12, 300))
+    assert long <= short < 1.01 * long
+    rng = np.random.default_rng(1)
+    w, bias = quality.descend(fs, y, r, epochs=300)
+    assert all(primal(w + 0.01 * rng.normal(size=len(w)) * (w != 0), bias) >= long * (1 - 1e-6) for _ in range(20))
+
+
+def test_op6_scores_are_chances(spark):
+    """On rows of the same kind, unseen: mean score and share of label 1 agree in each fifth, where classes are uneven too, and a
+    sample of it that is even."""
+    for part in (0.5, 0.1):
+        _, df = small_corpus(spark, 4000, part)
+        seen, unseen = df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")
+        for sample in (3000, 500):
+            model = quality.trained(seen, seen, sample=sample)
+            rows = sorted((r["score"], r["label"]) for r in quality.scored(unseen, model).join(unseen.select("doc_id", "label"), "doc_id").collect())
+            fifths = [rows[i * 400 : (i + 1) * 400] for i in range(5)]
+            assert all(abs(sum(a for a, _ in x) - sum(b for _, b in x)) / 400 < 0.06 for x in fifths), (part, sample)
+            base = sum(b for _, b in rows) / 2000
+            assert sum((a - b) ** 2 for a, b in rows) / 2000 < 0.9 * base * (1 - base)
+
+
+def test_op6_odd_labels(spark):
+    """Labels other than 0 and 1 are left out, the least label of an id counts, and repeated ids are one of the sample."""
+    rows, df = small_corpus(spark, 200)
+    labels = df.select("doc_id", "label")
+    odd = labels.unionAll(labels.where("label = 0").withColumn("label", F.lit(1))).unionAll(spark.createDataFrame([(1000, 2), (1001, -1), (None, 1), (5000, 1)], "doc_id long, label int"))
+    more = df.unionAll(spark.createDataFrame([(1000, "x", 1), (1001, "y", 0)], df.schema))
+    a, b = quality.trained(df, labels), quality.trained(more.repartition(7), odd)
+    assert (a.ratio == b.ratio).all() and (a.weights == b.weights).all() and a.offset == b.offset
+    hot = df.unionAll(df.where("doc_id = 3").withColumn("text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("again "), i)))))
+    c, d = quality.trained(hot, labels), quality.trained(hot.repartition(5), labels)
+    assert (c.weights == d.weights).all() and (c.ratio == d.ratio).all()
+
+
 def test_op6_awkward(odd, none, monkeypatch):
     labels = odd.select("doc_id", F.when(F.length("text") > 100, 1).otherwise(0).alias("label")).distinct()
     model = quality.trained(odd, labels)
