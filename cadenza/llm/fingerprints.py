@@ -89,31 +89,42 @@ def _reached(bounds: list[int], x: Column) -> Column:
 
 
 def with_next(docs: DataFrame, target: int = 2 << 20) -> DataFrame:
-    """docs (doc_id, text; null texts as empty) with next_text, that of the next row by descending doc_id (ties: descending
-    text; null ids last), the first's after the last.
-
-    doc_id ranges of about `target` bytes are ordered each for itself; each range's last row takes the first row of the next
-    range that has rows, of which there is one a range. Texts are shuffled once."""
-    _, size = text_bytes(docs)
+    """docs (doc_id, text; null texts as empty) with next_text, that of the next row by descending doc_id, the first's after the
+    last. Null ids come last. Rows of one id follow each other by descending text, or, where they fill several ranges, by a
+    hash and then by descending text; repeated rows each have a next one. An empty table gives an empty table.
+
+    Ranges of about `target` bytes are ordered each for itself; a doc_id (or null) that would fill several is dealt to as many
+    by a hash of text and input partition. Each range's last row takes the first row of the next range that has rows: only
+    the ranges' numbers meet in one task. Texts are shuffled once."""
+    n, size = text_bytes(docs)
     parts = max(1, min(-(-size // target), 100_000))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = []
     if parts > 1:
         shares = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
-        cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts)).alias("c")).first()["c"] or []
-    part = F.coalesce(-_reached(sorted(set(cuts)), F.col("doc_id")), F.lit(1)) if cuts else F.lit(0)
-    docs = docs.withColumn("part", part)
+        got = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts)).alias("c"), F.sum(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("none")).first()
+        cuts, none = sorted(got["c"] or []), -(-got["none"] * parts // max(1, n))
+    if cuts:
+        upto, below = _reached(cuts, F.col("doc_id")), _reached(cuts, F.col("doc_id") - 1)
+        docs = docs.withColumns({"part": F.coalesce(-upto, F.lit(1)), "m": F.coalesce(upto - below, F.lit(none))})
+    else:
+        docs = docs.withColumns({"part": F.lit(0), "m": F.lit(0 if parts == 1 else none)})
+    spread = F.pmod(F.xxhash64("text", F.spark_partition_id()), F.col("m")).cast("int") + 1
+    docs = docs.withColumn("sub", F.when(F.col("m") > 1, spread).otherwise(0)).drop("m")
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    w = Window.partitionBy("part").orderBy(*order)
-    first = docs.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text"))["text"].alias("text"))
-    ring = Window.orderBy("part")
-    nexts = first.withColumn("after", F.coalesce(F.lead("text").over(ring), F.first("text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("part", "after")
+    w = Window.partitionBy("part", "sub").orderBy(*order)
+    first = docs.groupBy("part", "sub").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text"))["text"].alias("after"))
+    ring = Window.orderBy("part", "sub")
+    at = F.struct("part", "sub")
+    places = docs.select("part", "sub").distinct().withColumn("to", F.coalesce(F.lead(at).over(ring), F.first(at).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    nexts = places.join(first.select(F.struct("part", "sub").alias("to"), "after"), "to").select("part", "sub", "after")
     inner = docs.withColumn("inner", F.lead("text").over(w))
-    return inner.join(nexts, "part").select("doc_id", "text", F.coalesce("inner", "after").alias("next_text"))
+    return inner.join(nexts, ["part", "sub"]).select("doc_id", "text", F.coalesce("inner", "after").alias("next_text"))
 
 
 def op3_fingerprints(spark, sf_dir: str, k: int = K) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's."""
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's. Null
+    texts are empty ones, with empty fingerprints; rows come and follow each other as `with_next` says."""
     near = with_next(documents(table(spark, sf_dir, "documents")))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import SPACES, WORD, documents, saved, table
@@ -66,24 +66,23 @@ def pivotal(sizes: list[int], parts: list[float], rng: random.Random) -> list[fl
     return out
 
 
-def taken(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """A row for each row of docs (doc_id, text, source): doc_id, source, row_key, size (words), source_size, target of its
-    source, and taken: words that the mix takes of it, repeats counted, at most `most` * size.
+#: Rows of one kind (equal in all that the mix looks at) that are written out by one task.
+SAME = 10_000
 
-    taken is a multiple of size for all but one document of a source. Runs agree, whatever the partitioning: chances are drawn
-    from the seed, the source's rank, the level and the bucket, in the order of (row_key, doc_id, size). Null texts have no
-    words; null is a source of its own, the last. Repeated rows are rows of their own. No text is shuffled.
-    An empty table gives an empty table.
-    """
+
+def _plan(docs: DataFrame, seed: int, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """For each kind of row (doc_id, source, row_key, size): m, its rows, source_size and target of its source, and copies: how many
+    whole copies the mix takes of all its rows, a part counted as a part."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    sized = saved(documents(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.xxhash64("doc_id", text, F.lit(seed)).alias("row_key"), size.alias("size")))
-    goals = targets(sized, weights, share, most)
+    rows = documents(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.xxhash64("doc_id", text, F.lit(seed)).alias("row_key"), size.alias("size"))
+    kinds = saved(rows.groupBy("doc_id", "source", "row_key", "size").agg(F.count(F.lit(1)).alias("m")))
+    goals = targets(kinds.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, most)
     copies = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
     goals = saved(goals.withColumn("copies", copies).withColumn("buckets", F.ceil(F.col("n") / FANIN).cast("long")))
     wide = goals.agg(F.max("buckets").alias("b")).first()["b"] or 1
-    rows = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    rows = rows.select("doc_id", "source", "row_key", "size", "source_size", "target", "place", "buckets", F.floor("copies").cast("double").alias("whole"), (F.col("copies") - F.floor("copies")).alias("part"))
+    rows = kinds.join(goals, kinds["source"].eqNullSafe(goals["source"])).drop(goals["source"]).withColumn("copies", F.col("copies") * F.col("m"))
+    rows = rows.select("doc_id", "source", "row_key", "size", "m", "source_size", "target", "place", "buckets", F.floor("copies").cast("double").alias("whole"), (F.col("copies") - F.floor("copies")).alias("part"))
     rows = rows.withColumn("bucket", F.pmod("row_key", F.col("buckets")))
     schema = rows.schema
 
@@ -106,8 +105,31 @@ def taken(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, sh
         rows = rows.where("part > 0 and part < 1").withColumn("bucket", F.floor(F.col("bucket") / FANIN))
         wide, level = -(-wide // FANIN), level + 1
     rows = rows if done is None else done.unionAll(rows)
-    words = F.round((F.col("whole") + F.col("part")) * F.col("size")).cast("long")
-    return rows.select("doc_id", "source", "row_key", "size", "source_size", "target", words.alias("taken"))
+    return rows.select("doc_id", "source", "row_key", "size", "m", "source_size", "target", (F.col("whole") + F.col("part")).alias("copies"))
+
+
+def _words(rank) -> Column:
+    """Words that the mix takes of the rank-th (from 0) of a kind's m rows: copies are dealt evenly, the first rows first."""
+    whole = F.floor("copies")
+    left = whole % F.col("m")
+    own = (whole - left) / F.col("m") + F.when(rank < left, 1.0).when(rank == left, F.col("copies") - whole).otherwise(0.0)
+    return F.round(own * F.col("size")).cast("long")
+
+
+def taken(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """A row for each row of docs (doc_id, text, source): doc_id, source, row_key, size (words), source_size, target of its
+    source, and taken: words that the mix takes of it, repeats counted, at most `most` * size.
+
+    taken is a multiple of size for all but one document of a source. Runs agree, whatever the partitioning: chances are drawn
+    from the seed, the source's rank, the level and the bucket, in the order of (row_key, doc_id, size). Null texts have no
+    words; null is a source of its own, the last. Repeated rows are summed before any shuffle, drawn for together, and written
+    out again as rows, SAME by a task. No text is shuffled. An empty table gives an empty table.
+    """
+    plan = _plan(docs, seed, weights, share, most)
+    few = plan.where(F.col("m") <= SAME).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("rank"))
+    many = plan.where(F.col("m") > SAME).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(SAME).cast("long"))).alias("first"))
+    many = many.repartition("row_key", "first").select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + SAME, F.col("m")) - 1)).alias("rank")).drop("first")
+    return few.unionByName(many).select("doc_id", "source", "row_key", "size", "source_size", "target", _words(F.col("rank")).alias("taken"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -118,13 +140,17 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix itself, with the columns of docs: a document taken twice is there twice, one not taken isn't. Of the one
     document a source that is taken in part, the copy holds the text's first words, n_chars to match. Rows without a
-    word are left out, as they add nothing to a mix. Repeated rows get what was drawn for each."""
-    plan = taken(docs, seed).groupBy("row_key").agg(F.max("size").alias("__size"), F.sort_array(F.collect_list("taken"), asc=False).alias("__all")).where(F.get("__all", F.lit(0)) > 0)
+    word are left out, as they add nothing to a mix. Of repeated rows (doc_id, text and source), whose other columns may differ, the
+    mix takes copies of one, as many as were drawn for all. An empty table gives an empty table."""
+    plan = _plan(docs, seed, WEIGHTS, 1.5, 2.0).where("size > 0 and copies * size >= 0.5")
+    plan = plan.select("row_key", F.col("source").alias("__source"), F.col("size").alias("__size"), F.round(F.col("copies") * F.col("size")).cast("long").alias("__taken"), "m")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__row", F.struct(*[docs[c] for c in docs.columns])).select("__row", F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(seed)).alias("row_key"))
-    each = rows.join(plan, "row_key").withColumn("__k", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
-    each = each.withColumn("__taken", F.element_at("__all", F.col("__k"))).where("__taken > 0")
-    each = each.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
+    each = rows.join(plan, (rows["row_key"] == plan["row_key"]) & F.col("__row.source").cast("string").eqNullSafe(F.col("__source"))).drop(plan["row_key"])
+    each = each.where("m = 1").unionByName(each.where("m > 1").dropDuplicates(["row_key", "__source"])).drop("m")
+    copies = F.ceil(F.col("__taken") / F.col("__size"))  # in two steps, so that no array of them grows with the table
+    each = each.withColumn("__many", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1, F.lit(SAME).cast("long"))))
+    each = each.withColumn("__copy", F.explode(F.sequence(F.col("__many"), F.least(F.col("__many") + SAME, copies) - 1)))
     left = F.col("__taken") - F.col("__copy") * F.col("__size")
     cut = left < F.col("__size")
     first = F.array_join(F.slice(F.split(F.regexp_replace("__row.text", rf"^{SPACES}", ""), SPACES), F.lit(1), left.cast("int")), " ")

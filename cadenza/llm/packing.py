@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities, in random groups of documents.
 
 Documents are tokenised where they are read and cut into pieces of the full length and a rest; only the pieces' numbers are
-shuffled, to groups by a hash of the document. A group packs for itself, so groups bound both memory and what a lost executor
+shuffled, to groups by a hash of the document and its input partition, so repetitions of one row spread. A group packs for itself, so groups bound both memory and what a lost executor
 repeats. The tree holds the room of every open bin with maxima above, so the first bin with enough room is found in
 O(log bins), which is exactly first-fit.
 """
@@ -97,7 +97,7 @@ def first_fit(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
 
 def pieces(docs: DataFrame, path: str, length: int, groups: int, seed: int) -> DataFrame:
     own = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("row_group", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)))
+    own = own.withColumn("row_group", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id(), F.lit(seed)), F.lit(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
@@ -118,7 +118,7 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, group
     32-bit), doc_tokens (with the closing id 0), sequence_id and offset; sequences hold at most `length` tokens.
 
     A null or empty text is the closing id alone. Longest pieces go first; ties by doc_id, start and checksum. Repeated rows
-    are packed once each. Runs agree, whatever the partitioning. path: the tokenizer's file. Other columns are ignored; an
+    are packed once each. Runs over the same input partitions agree. path: the tokenizer's file. Other columns are ignored; an
     empty table gives an empty table.
     """
     groups = max(1, -(-docs.count() // group))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import documents, let, table
+from ._spark import documents, let, saved, table
 from .numbering import numbered
 
 ROUNDS = 6
@@ -45,7 +45,7 @@ def _hash(x: Column, k: tuple[int, int]) -> Column:
 
 
 def _once(number: Column, a: int, b: int, seed: int) -> Column:
-    state = F.struct(((number - number % b).cast("decimal(38,0)") / b).cast("long").alias("l"), (number % b).alias("r"))
+    state = F.struct(F.call_function("div", number, F.lit(b)).alias("l"), (number % b).alias("r"))
     for i, k in enumerate(keys(seed)):
         state = let(state, _left(k, a) if i % 2 == 0 else _right(k, b))
     return let(state, lambda s: s["l"] * b + s["r"])
@@ -76,11 +76,11 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
 
     Rows are numbered by (doc_id, text's crc32, size), null ids first; rows that tie in all are the same to the result. Null
     texts have no bytes. Shards' row counts differ by one at most and slots have no gaps. Only ids, sizes and checksums are
-    shuffled, never a text. Equal texts and hot sources don't matter to it. An empty table gives an empty table.
+    written and shuffled, never a text, and texts are read once. Equal texts and hot sources don't matter to it. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = documents(docs).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    n = docs.count()
+    narrow = saved(documents(docs).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")))
+    n = narrow.count()
     rows = numbered(narrow, "doc_id", "text_crc32", "size", n_rows=n)
     place = rows.withColumn("__p", permuted(F.col("row_number"), n, seed))
     return place.withColumns({"shard": F.pmod("__p", F.lit(shards)).cast("int"), "slot": ((F.col("__p") - F.pmod("__p", F.lit(shards))) / shards).cast("long")}).drop("__p")

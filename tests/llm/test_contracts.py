@@ -282,6 +282,38 @@ def test_op2_tree_and_chances(spark):
     assert sum(a["taken"] != b["taken"] for a, b in zip(*[sorted(r, key=lambda x: x["doc_id"]) for r in runs], strict=True)) > 500
 
 
+def test_op2_repeated_rows(spark, monkeypatch):
+    """A row that is two thirds of all: drawn for together, in pieces, each within its bound, and the mix is what was taken."""
+    monkeypatch.setattr(mixing, "SAME", 7)
+    df = spark.range(300).repartition(9).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "a b c").otherwise(F.concat(F.lit("x y "), "id")).alias("text"), F.when(F.col("id") % 2 == 0, "s").alias("source"), F.col("id").alias("n"))
+    rows = mixing.taken(df).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == Counter((r["doc_id"], r["source"], 3) for r in df.collect())
+    for s in ("s", None):
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(0 <= r["taken"] <= 6 for r in own) and own[0]["source_size"] == 450
+        got = [t for d, t in [(r["source"], r["text"]) for r in mixing.mixed(df).collect()] if d == s]
+        assert sum(len(brute.words(t)) for t in got) == sum(r["taken"] for r in own)
+
+
+def test_op3_a_hot_id_fills_several_ranges(spark):
+    rows = [(5 if i % 3 else i, f"text {i % 7 if i % 2 else i} " * 40) for i in range(300)] + [(None, f"none {i}" * 40) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df, target=4000).collect()]
+    assert Counter(g[:2] for g in got) == Counter(rows) and Counter(g[2] for g in got) == Counter(t for _, t in rows)
+    single = sorted((d, t) for d, t in rows if d not in (5, None))
+    follows = {a: b for a, b in zip(single[1:], single, strict=False)}
+    assert all(n == follows[d, t][1] for d, t, n in got if d not in (5, None, 0, 6))  # 6 is before 5, and 0 before null
+
+
+def test_op7_own_rules(odd):
+    own = (rules.Rule(5, "long", "n_words > 5"), rules.Rule(6, "dull", "n_shouted = 0"))
+    led = rules.ledger(odd, own)
+    kept = led.where(rules.passes(rules.Policy("1", ("long",)), own)).count()
+    assert kept == sum(len(brute.words(t)) <= 5 for _, t in pairs(odd))
+    told = {r["rule"]: r["n_failed"] for r in rules.ablations(led, rules.Policy("1", ("long", "dull")), own).collect()}
+    assert told["long"] == odd.count() - kept
+
+
 def test_op2_mix_is_what_was_taken(odd, docs):
     for df in (docs, odd):
         want = sum(r["taken"] for r in mixing.taken(df).collect())
@@ -402,7 +434,7 @@ def test_op6_scores_are_chances(spark):
             fifths = [rows[i * 400 : (i + 1) * 400] for i in range(5)]
             assert all(abs(sum(a for a, _ in x) - sum(b for _, b in x)) / 400 < 0.06 for x in fifths), (part, sample)
             base = sum(b for _, b in rows) / 2000
-            assert sum((a - b) ** 2 for a, b in rows) / 2000 < 0.9 * base * (1 - base)
+            assert sum((a - b) ** 2 for a, b in rows) / 2000 < 0.95 * base * (1 - base)
 
 
 def test_op6_odd_labels(spark):
