@@ -86,10 +86,14 @@ class Policy:
     version: str
     rules: tuple[str, ...]
 
-    def mask(self, rules: tuple[Rule, ...] = RULES) -> int:
+    @property
+    def mask(self) -> int:
+        return self.bits(RULES)
+
+    def bits(self, rules: tuple[Rule, ...]) -> int:
         """The bits of the policy's rules, by the table of rules that the ledger was written with."""
-        bits = {r.name: 1 << r.bit for r in rules}
-        return sum(bits[n] for n in self.rules)
+        of = {r.name: 1 << r.bit for r in rules}
+        return sum(of[n] for n in self.rules)
 
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
@@ -115,13 +119,13 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
     """Does a row of the ledger, written with these rules, pass the policy?"""
-    return F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0
+    return F.col("failed_bits").bitwiseAND(F.lit(policy.bits(rules)).cast("long")) == 0
 
 
 def ablations(led: DataFrame, policy: Policy = STRICT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of the policy: rows that fail it, and rows that fail it alone and would be kept without it. Rows are
     first summed by mask, so at most 2**rules sums leave each task."""
-    masks = led.groupBy(F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    masks = led.groupBy(F.col("failed_bits").bitwiseAND(F.lit(policy.bits(rules)).cast("long")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
     own = [r for r in rules if r.name in policy.rules]
     each = masks.select("n", "mask", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in own])).alias("r"))
     has = each["mask"].bitwiseAND(F.col("r.bit")) != 0
