@@ -239,27 +239,28 @@ def _large(big: DataFrame, percent: int, chunk: int) -> DataFrame:
     return here.select("sig", "sig2", "label", F.lit(None).cast("long").alias("links"))
 
 
-def _classified(docs: DataFrame, percent: int, shingle: int, chunk: int, links: bool, half: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_key, n_shingles, and sig and sig2 of their class, null for what can't link), and the classes (sig,
-    sig2, low, label, n_links)."""
+def _classified(docs: DataFrame, percent: int, shingle: int, chunk: int, links: bool, half: bool = True, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key if keyed, n_shingles, and sig and sig2 of their class, null for what can't link), and the classes
+    (sig, sig2, low, label, n_links)."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
-    docs = documents(docs, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
-    _, size = text_bytes(docs)
+    docs = documents(docs)
+    n_rows, size = text_bytes(docs)
     n_buckets, bits = X.shape(size, 6 << 20)
     width = min(6, (61 - bits) // 8)
     dealt = X.buckets(docs, n_buckets)
-    schema = "doc_id long, text_key string, n_shingles long, sig long, sig2 long, shingles binary, prefix array<long>, unsure boolean"
+    schema = "doc_id long, text_key string, n_shingles long, sig long, sig2 long, home int, shingles binary, prefix array<long>, unsure boolean"
 
     def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         _, _, once, rows = _tokens(t, bits + 8 * width, shingle, half)
         return X.asks(X.asking(once, bits, width, [np.minimum(rows, 255).astype(np.uint8)]), key[0].as_py())
 
-    def read(t: pa.Table, got: pa.Table) -> pa.Table:
+    def read(key: tuple[pa.Scalar, ...], t: pa.Table, got: pa.Table) -> pa.Table:
+        """The bucket's rows; the first of each class carries its shingles and prefix, and the bucket's number as their home."""
         sets, sent, once, _ = _tokens(t, bits + 8 * width, shingle, half)
         df = X.answered(got, "u1")
-        out = []
-        for doc, text_key, s, e in zip(X.ids(t), t.column("text_key").to_pylist(), sets, sent, strict=True):
+        out, told = [], set()
+        for doc, text, s, e in zip(X.ids(t), X.texts(t), sets, sent, strict=True):
             n, code, k, prefix, unsure = len(s), df[np.searchsorted(once, e)], len(s) * (100 - percent) // 100, [], False
             spaces = [(0, e, code)] if n <= SMALL or not half else []  # of all shingles, or of the half that all documents send
             if half and n > SURE:
@@ -273,34 +274,36 @@ def _classified(docs: DataFrame, percent: int, shingle: int, chunk: int, links:
             tokens = np.concatenate([*prefix, np.zeros(0, U)]).view(np.int64)
             stays = n and len(tokens)
             raw = s.astype("<u8").tobytes() if n and len(tokens) else None
-            sig = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), "<i8").tolist() if raw else (None, None)
-            out.append((doc, text_key, n, *sig, raw, tokens.tolist() if raw else None, bool(unsure)))
-        names = ("doc_id", "text_key", "n_shingles", "sig", "sig2", "shingles", "prefix", "unsure")
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
+            sig = tuple(np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), "<i8").tolist()) if raw else (None, None)
+            own = (key[0].as_py(), raw, tokens.tolist()) if raw and sig not in told else (None, None, None)
+            told.add(sig)
+            out.append((doc, hashlib.md5(text).hexdigest() if keyed else None, n, *sig, *own, bool(unsure)))
+        names = ("doc_id", "text_key", "n_shingles", "sig", "sig2", "home", "shingles", "prefix", "unsure")
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
         return pa.table({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(names, kinds, strict=True))})
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, X.ASK)
     got = X.answers(asked, width, ["u1"], _counted)
     found = saved(dealt.groupBy("bucket").cogroup(got.groupBy("bucket")).applyInArrow(read, schema))
     if half and found.where("unsure").limit(1).count():  # 8 standard deviations off: the whole space decides
-        return _classified(docs, percent, shingle, chunk, links, half=False)
+        return _classified(docs, percent, shingle, chunk, links, False, keyed)
 
-    classes = saved(found.where("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix")))
+    classes = saved(found.where("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("home").alias("home"), F.first("prefix", True).alias("prefix")))
     # groups by one half of a class's key: two classes that share it are in one group, which stays a superset
     entry = classes.select(F.explode("prefix").alias("a"), F.col("sig").alias("b"))
     hub = entry.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("other"), F.count(F.lit(1)).alias("d")).where("m <> other").drop("other")
     near = components(with_least(entry, hub).select(F.col("b").alias("a"), F.col("m").alias("b")))
     near = near.select(F.col("node").alias("sig"), F.col("component").alias("group"))
     sizes = near.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    sized = near.join(sizes, "group")  # numbers alone; shingles are shuffled for the next join and once to their tables
-    candidate = classes.select("sig", "sig2", "copies", F.expr("octet_length(shingles) div 8").alias("n"), "shingles").join(sized, "sig")
-    tables = max(1, size // (16 << 20))
+    sized = classes.drop("prefix", "low").join(near.join(sizes, "group"), "sig")  # numbers alone; shingles are shuffled for the next join and to their tables
+    candidate = found.where("shingles is not null").select("sig", "sig2", "home", F.expr("octet_length(shingles) div 8").alias("n"), "shingles").join(sized, ["sig", "sig2", "home"])
+    tables = max(1, size // (16 << 20), min(n_rows // 500, 2000))
     small = candidate.where(F.col("size") <= chunk).withColumn("part", F.col("group")).groupBy(F.pmod(F.xxhash64("group"), F.lit(tables)).alias("t")).applyInArrow(_inside(percent), CLASS)
     if sizes.where(F.col("size") > chunk).limit(1).count():
         small = small.unionByName((_whole if links else _large)(candidate.where(F.col("size") > chunk), percent, chunk))
     own = F.struct("sig", "sig2")
     label = saved(classes.select("sig", "sig2", "low", "copies").join(small, ["sig", "sig2"], "left").select("sig", "sig2", "low", F.coalesce("label", own).alias("label"), (F.coalesce("links", F.when(F.col("label").isNull() | F.lit(links), 0)) + F.col("copies") - 1).alias("n_links")))
-    return found.drop("shingles", "prefix", "unsure"), label
+    return found.drop("home", "shingles", "prefix", "unsure"), label
 
 
 def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, chunk: int = 1024, links: bool = True, half: bool = True) -> DataFrame:
@@ -328,7 +331,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ones too. An empty table gives an empty table.
 
     Rows are told apart by (doc_id, checksum), so two texts under one id are decided apart."""
-    found, label = _classified(docs, 75, 5, 1024, links=False, half=True)
+    found, label = _classified(docs, 75, 5, 1024, links=False, keyed=True)
     key = (F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"), F.col("doc_id").isNull().alias("__none"))
     rows = found.join(label.select("sig", "sig2", "label"), ["sig", "sig2"]).groupBy("label", *key, "text_key").agg(F.count(F.lit(1)).alias("n"))
     best = rows.groupBy("label").agg(F.min(F.struct("__none", "__id", "text_key", "n")).alias("r")).select("r.__id", "r.__none", "r.text_key", (F.col("r.n") > 1).alias("__again"))
