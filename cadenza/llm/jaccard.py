@@ -241,7 +241,7 @@ def _large(big: DataFrame, percent: int, chunk: int) -> DataFrame:
 
 def _classified(docs: DataFrame, percent: int, shingle: int, chunk: int, links: bool, half: bool = True, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text_key if keyed, n_shingles, and sig and sig2 of their class, null for what can't link), and the classes
-    (sig, sig2, low, label, n_links)."""
+    (sig, sig2, low, label, copies, n_links)."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     docs = documents(docs)
@@ -302,7 +302,7 @@ def _classified(docs: DataFrame, percent: int, shingle: int, chunk: int, links:
     if sizes.where(F.col("size") > chunk).limit(1).count():
         small = small.unionByName((_whole if links else _large)(candidate.where(F.col("size") > chunk), percent, chunk))
     own = F.struct("sig", "sig2")
-    label = saved(classes.select("sig", "sig2", "low", "copies").join(small, ["sig", "sig2"], "left").select("sig", "sig2", "low", F.coalesce("label", own).alias("label"), (F.coalesce("links", F.when(F.col("label").isNull() | F.lit(links), 0)) + F.col("copies") - 1).alias("n_links")))
+    label = saved(classes.select("sig", "sig2", "low", "copies").join(small, ["sig", "sig2"], "left").select("sig", "sig2", "low", F.coalesce("label", own).alias("label"), "copies", (F.coalesce("links", F.when(F.col("label").isNull() | F.lit(links), 0)) + F.col("copies") - 1).alias("n_links")))
     return found.drop("home", "shingles", "prefix", "unsure"), label
 
 
@@ -315,9 +315,12 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, chunk: int
     other. percent: 75 or more, for the bounds of step 1. Other columns are ignored; an empty table gives an empty table.
     """
     found, label = _classified(docs, percent, shingle, chunk, links, half)
-    low = label.groupBy("label").agg(F.min("low").alias("component_id"))
-    of = label.join(low, "label").select("sig", "sig2", "component_id", "n_links")
-    return found.select("doc_id", "n_shingles", "sig", "sig2").join(of, ["sig", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("sig").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    own = F.struct("sig", "sig2")
+    least = label.groupBy(F.col("label").alias("a")).agg(F.min("low").alias("m"), F.count(F.lit(1)).alias("d"))
+    of = with_least(label.select(F.col("label").alias("a"), F.struct(own.alias("own"), "n_links", "copies").alias("b")), least)
+    of = of.select(F.col("b.own").alias("a"), F.struct(F.col("m").alias("component_id"), "b.n_links").alias("m"), F.col("b.copies").alias("d"))
+    some = with_least(found.where("sig is not null").select(own.alias("a"), F.struct("doc_id", "n_shingles").alias("b")), of).select("b.doc_id", "b.n_shingles", "m.component_id", "m.n_links")
+    return some.unionByName(found.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ SENTENCES = {
     "isc.and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "0bsd.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense.domain": "This is free and unencumbered software released into the public domain",
-    "wtfpl.want": "You just DO WHAT THE FUCK YOU WANT TO",
+    "wtfpl.title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
 }
 # Rules in the order they are tried within a licence; (licence, identifiers that occur in this order).
 RULES = (
@@ -90,7 +90,7 @@ RULES = (
     ("ISC", ("isc.and",)),
     ("0BSD", ("0bsd.grant",)),
     ("Unlicense", ("unlicense.domain",)),
-    ("WTFPL", ("wtfpl.want",)),
+    ("WTFPL", ("wtfpl.title",)),
 )
 #: A rule that holds hides the licences named here, whose sentences are a part of its own.
 HIDES = {"BSD-4-Clause": ("BSD-3-Clause", "BSD-2-Clause"), "BSD-3-Clause": ("BSD-2-Clause",)}
@@ -128,13 +128,14 @@ def _pattern(sentences: list[str]) -> str:
     return rf"(?:^|(?<={END}))[ .]*({'|'.join(words)})(?=[ .]*(?:{END}|$))"
 
 
-def cues(sentences: list[str]) -> list[str]:
-    """Few words so that each sentence (normalised) holds one at least: the one most sentences hold, longest first, then of the
-    sentences left, and so on. A text without any of them holds no sentence."""
-    left, out = [set(s.split()) for s in sentences if s], []
+def cues(sentences: list[str], long: int = 7) -> list[str]:
+    """Few rare words so that each sentence (normalised) holds one at least, as a word or within one: of words of `long` letters or
+    more, or a sentence's longest one, the one that most sentences hold, then of the sentences left, and so on. A text without any of
+    them holds no sentence."""
+    left, out = [s for s in sentences if s], []
     while left:
-        words = sorted({w for s in left for w in s})
-        out.append(max(words, key=lambda w: (sum(w in s for s in left), len(w))))
+        words = {w for s in left for w in s.split() if len(w) >= min(long, max(map(len, s.split())))}
+        out.append(max(sorted(words), key=lambda w: (sum(w in s for s in left), len(w))))
         left = [s for s in left if out[-1] not in s]
     return out
 
