@@ -172,7 +172,10 @@ def strata_same_day(eps: DataFrame, window_hours: int = 6) -> DataFrame:
     # one control a slot
     other = other.groupBy(*KEY, "a_us", "day", F.floor(F.col("o_us") / slot).alias("slot")).agg(F.min("o_us").alias("at")).withColumn("own", F.lit(False)).drop("slot")
     probe = base.select(*KEY, "a_us", "day", F.col("end_us").alias("at"), F.lit(True).alias("own")).unionByName(other)
-    hit = probe.join(acts, ["lane", "consequent"], "left").groupBy(*KEY, "a_us", "day", "own", "at").agg(F.coalesce(F.max(((F.col("b_us") > F.col("at")) & (F.col("b_us") <= F.col("at") + span)).cast("int")), F.lit(0)).alias("hit"))
+    # a probe meets the acts of its window's two days at most, not the lane's whole history
+    near = acts.withColumn("probe_day", F.explode(F.sequence(F.floor((F.col("b_us") - span) / DAY_US), F.floor(F.col("b_us") / DAY_US))))
+    probe = probe.withColumn("probe_day", F.floor(F.col("at") / DAY_US))
+    hit = probe.join(near, ["lane", "consequent", "probe_day"], "left").groupBy(*KEY, "a_us", "day", "own", "at").agg(F.coalesce(F.max(((F.col("b_us") > F.col("at")) & (F.col("b_us") <= F.col("at") + span)).cast("int")), F.lit(0)).alias("hit"))
     return hit.groupBy(*KEY, "a_us", "day").agg(F.max(F.when(F.col("own"), F.col("hit"))).alias("treated"), F.count(F.when(~F.col("own"), 1)).alias("controls"), F.sum(F.when(~F.col("own"), F.col("hit")).otherwise(0)).alias("positives"))
 
 

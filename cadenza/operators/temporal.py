@@ -111,31 +111,42 @@ def density(days: DataFrame, shares: DataFrame, recent: int = 20) -> DataFrame:
     return both.select(*CLASS, "occurrences", "occurrence_days", "watched", (F.col("watched") / F.col("occurrences")).alias("days_per_occurrence"), F.least(F.col("occurrence_days") / F.col("watched"), F.lit(1.0)).alias("occurrence_day_share"))
 
 
-def day_profile(eps: DataFrame, missed: DataFrame, pool: int = 3, slot_strength: float = 4.0, pool_strength: float = 4.0, recent: int = 30) -> DataFrame:
+def profile_days(eps: DataFrame, recent: int = 30) -> DataFrame:
+    """The slots in which a class's natural episodes started, on its last `recent` natural days: (class, day, slot), distinct."""
+    days = eps.where("natural").groupBy(*CLASS, "day").agg(F.collect_set(slot_of(F.col("start_us"))).alias("slots"))
+    w = Window.partitionBy(*CLASS).orderBy(F.col("day").desc())
+    return days.withColumn("r", F.row_number().over(w)).where(F.col("r") <= recent).select(*CLASS, "day", F.explode("slots").alias("slot"))
+
+
+def day_profile(eps: DataFrame, missed: DataFrame, last_day: Column | None = None, pool: int = 3, slot_strength: float = 4.0, pool_strength: float = 4.0, recent: int = 30) -> DataFrame:
     """Per class and slot: its part of the day's rate. A slot's rate is drawn to its neighbourhood's, that to the all-day
-    rate, both as Beta pseudo-counts; neighbourhoods wrap at midnight. `top` days started there, `bottom` were watched."""
+    rate, both as Beta pseudo-counts; neighbourhoods wrap at midnight. `top` days started there, `bottom` were watched. Days
+    after last_day aren't sealed and don't count, though they are among the recent ones.
+
+    A class's days are counted once into its 96 slots; a neighbourhood is a window over them, with the ends repeated."""
     if not 0 < 2 * pool < SLOTS:
         raise ValueError("the neighbourhood must be shorter than a day")
-    on = eps.where("natural").select(*CLASS, "day", slot_of(F.col("start_us")).alias("slot")).distinct()
+    days = eps.where("natural").groupBy(*CLASS, "day").agg(F.collect_set(slot_of(F.col("start_us"))).alias("slots"))
     w = Window.partitionBy(*CLASS).orderBy(F.col("day").desc())
-    on = on.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= recent).drop("r")
-    days = on.select(*CLASS, "day").distinct()
-    n = days.groupBy(*CLASS).agg(F.count("*").cast("double").alias("n_days"))
-    top = on.groupBy(*CLASS, "slot").agg(F.count("*").cast("double").alias("top"))
-    lost = days.join(missed, ["lane", "day"]).groupBy(*CLASS, "slot").agg(F.sum("missed").alias("lost"))
-    grid = n.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    rates = grid.join(top, [*CLASS, "slot"], "left").join(lost, [*CLASS, "slot"], "left").select(*CLASS, "slot", F.coalesce("top", F.lit(0.0)).alias("top"), (F.col("n_days") - F.coalesce("lost", F.lit(0.0))).alias("bottom"))
-    packed = rates.groupBy(*CLASS).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "top", "bottom"))), lambda x: F.struct(x["top"].alias("t"), x["bottom"].alias("b"))).alias("v"))
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + x[f])
-    ring = lambda i, f: F.aggregate(F.sequence(F.lit(-pool), F.lit(pool)), F.lit(0.0), lambda a, o: a + F.get(F.col("v"), F.pmod(i + o, F.lit(SLOTS)))[f])
-    packed = packed.withColumns({"tt": total("t"), "bb": total("b")}).where("tt > 0 and bb > 0")
-
-    def rate(x: Column, i: Column) -> Column:
-        pooled = shrink(ring(i, "t"), ring(i, "b"), F.col("tt") / F.col("bb"), pool_strength)
-        return F.least(F.greatest(shrink(x["t"], x["b"], pooled, slot_strength), F.lit(0.0)), F.lit(1.0))
-
-    made = packed.withColumn("rate", F.transform("v", rate)).withColumn("whole", F.aggregate("rate", F.lit(0.0), lambda a, x: a + x))
-    return made.select(*CLASS, F.posexplode(F.transform("rate", lambda x: x / F.col("whole"))).alias("slot", "share"))
+    days = days.withColumn("r", F.row_number().over(w)).where(F.col("r") <= recent)
+    if last_day is not None:
+        days = days.where(F.col("day") <= last_day)
+    lost = missed.groupBy("lane", "day").agg(F.collect_list(F.struct("slot", "missed")).alias("lost"))
+    entry = lambda slot, t, d, m: F.struct(slot.cast("int").alias("slot"), t.alias("top"), d.alias("days"), m.alias("lost"))
+    one, none = F.lit(1.0), F.lit(0.0)
+    each = F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: entry(i, none, one, none)), F.transform("slots", lambda i: entry(i, one, none, none)),
+        F.transform(F.coalesce("lost", F.array().cast("array<struct<slot:int,missed:double>>")), lambda x: entry(x["slot"], none, none, x["missed"].cast("double"))),
+    )
+    rates = days.join(lost, ["lane", "day"], "left").select(*CLASS, F.inline(each)).groupBy(*CLASS, "slot").agg(F.sum("top").alias("top"), (F.sum("days") - F.sum("lost")).alias("bottom"))
+    i = F.col("slot")
+    around = rates.withColumn("at", F.explode(F.when(i < pool, F.array(i, i + SLOTS)).when(i >= SLOTS - pool, F.array(i, i - SLOTS)).otherwise(F.array(i))))
+    ring, whole, own = Window.partitionBy(*CLASS).orderBy("at").rowsBetween(-pool, pool), Window.partitionBy(*CLASS), F.col("at") == F.col("slot")
+    total = lambda c: F.sum(F.when(own, F.col(c))).over(whole)
+    around = around.withColumns({"pt": F.sum("top").over(ring), "pb": F.sum("bottom").over(ring), "tt": total("top"), "bb": total("bottom")}).where(own & (F.col("tt") > 0) & (F.col("bb") > 0))
+    pooled = shrink(F.col("pt"), F.col("pb"), F.col("tt") / F.col("bb"), pool_strength)
+    rate = F.least(F.greatest(shrink(F.col("top"), F.col("bottom"), pooled, slot_strength), none), one)
+    return around.withColumn("rate", rate).select(*CLASS, "slot", (F.col("rate") / F.sum("rate").over(whole)).alias("share"))
 
 
 def peaks(profile: DataFrame, floor: float = 0.1, days: DataFrame | None = None, min_days: int = 2) -> DataFrame:
@@ -157,20 +168,37 @@ def peaks(profile: DataFrame, floor: float = 0.1, days: DataFrame | None = None,
     return got.join(hit.groupBy(*CLASS, "first_slot").agg(F.count_distinct("day").alias("days")).where(F.col("days") >= min_days), [*CLASS, "first_slot"])
 
 
-def day_intervals(days: DataFrame, shares: DataFrame, density_of: DataFrame | None = None) -> DataFrame:
-    """Between consecutive days of a class: days apart, the chance that none was missed between (seen; the class's
-    occurrence-day share, or 1), and censored if the later day was only reminded."""
+def day_intervals(days: DataFrame, shares: DataFrame, density_of: DataFrame | None = None, profile: DataFrame | None = None, missed: DataFrame | None = None) -> DataFrame:
+    """Between consecutive days of a class: days apart, the chance that none was missed between (seen), and censored if the
+    later day was only reminded.
+
+    A day between is missed by the class's occurrence-day share (or 1) times the part of its profile (or of the day, for a
+    class without one) that lies in slots that weren't watched. Days that shares doesn't hold aren't sealed, and don't count. A
+    lane's days with something unwatched go into each of its classes' timelines, where the last day before says which
+    interval they fall in: no interval meets days beyond itself."""
     w = Window.partitionBy(*CLASS).orderBy("day")
     iv = days.select(*CLASS, F.lag("day").over(w).alias("previous"), F.col("day").alias("following"), (F.col("natural") == 0).alias("censored")).where("previous is not null")
+    classes = days.select(*CLASS).distinct()
     if density_of is None:
-        iv = iv.withColumn("p", F.lit(1.0))
+        classes = classes.withColumn("p", F.lit(1.0))
     else:
-        iv = iv.join(density_of.select(*CLASS, F.col("occurrence_day_share").alias("p")), CLASS, "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
-    lost = shares.where("share < 1").select(F.col("lane").alias("l"), "day", (1 - F.col("share")).alias("m"))
-    between = iv.join(lost, (F.col("lane") == F.col("l")) & (F.col("day") > F.col("previous")) & (F.col("day") < F.col("following")), "left")
-    factor = 1 - F.least(F.col("p") * F.coalesce("m", F.lit(0.0)), F.lit(1.0))
-    by = between.groupBy(*CLASS, "previous", "following", "censored").agg(F.exp(F.sum(F.when(factor > 0, F.log(factor)))).alias("e"), F.min(factor).alias("least"))
-    return by.select(*CLASS, "previous", "following", F.datediff("following", "previous").alias("days"), F.when(F.col("least") <= 0, 0.0).otherwise(F.coalesce("e", F.lit(1.0))).alias("seen"), "censored")
+        classes = classes.join(density_of.select(*CLASS, F.col("occurrence_day_share").alias("p")), CLASS, "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    part = 1 - F.col("share")
+    lost = shares.where("share < 1")
+    if profile is not None:
+        curve = profile.groupBy(*CLASS).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "share"))), lambda x: x["share"]).alias("curve"))
+        classes = classes.join(curve, CLASS, "left")
+        slots = missed.groupBy("lane", "day").agg(F.collect_list(F.struct("slot", F.col("missed").cast("double").alias("missed"))).alias("slots"))
+        lost = lost.join(slots, ["lane", "day"])
+        by = F.aggregate("slots", F.lit(0.0), lambda s, x: s + F.get(F.col("curve"), x["slot"]) * x["missed"])
+        part = F.when(F.col("curve").isNull(), part).otherwise(by)
+    factor = 1 - F.least(F.col("p") * part, F.lit(1.0))
+    away = classes.join(lost, "lane").select(*CLASS, "day", factor.alias("factor"))
+    line = away.withColumn("own", F.lit(None).cast("date")).unionByName(days.select(*CLASS, "day", F.lit(None).cast("double").alias("factor"), F.col("day").alias("own")))
+    line = line.withColumn("previous", F.max("own").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("own is null and previous < day")
+    seen = line.groupBy(*CLASS, "previous").agg(F.exp(F.sum(F.when(F.col("factor") > 0, F.log("factor")))).alias("e"), F.min("factor").alias("least"))
+    out = iv.join(seen, [*CLASS, "previous"], "left")
+    return out.select(*CLASS, "previous", "following", F.datediff("following", "previous").alias("days"), F.when(F.col("least") <= 0, 0.0).otherwise(F.coalesce("e", F.lit(1.0))).alias("seen"), "censored")
 
 
 def median_days(intervals: DataFrame) -> DataFrame:

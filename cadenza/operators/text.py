@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Patterns of credentials, and what replaces them.
 SECRETS = (
@@ -71,41 +75,119 @@ def evidence_hits(contexts: DataFrame, evidence: DataFrame, key: str) -> DataFra
     return ids.select(key, "evidence_id", "inside").join(part, [key, "evidence_id"], "left").select(key, "evidence_id", (F.col("inside") | F.coalesce("close", F.lit(False))).alias("hit"))
 
 
-@pandas_udf(ArrayType(StringType()))
-def numbered(s: pd.Series) -> pd.Series:
-    """Tokens with the count of their like before them: an intersection of sets counts a multiset's overlap."""
-
-    def run(tokens):
-        seen, out = {}, []
-        for t in () if tokens is None else tokens:
-            seen[t] = seen.get(t, 0) + 1
-            out.append(f"{t} {seen[t]}")
-        return out
-
-    return s.map(run)
+#: Items of a stated query set that are broadcast at once.
+BLOCK = 2000
+
+
+def _blocks(items: DataFrame, key: str) -> Iterator[pa.Table]:
+    """Items in blocks of half BLOCK on the mean, by a hash of their key; all of them where they are BLOCK at most."""
+    n = items.count()
+    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)
+    for k in range(blocks):
+        yield (items if blocks == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)).toArrow()
+
+
+class _Incidence:
+    """Items by the elements they hold: a matrix with a column for the n-th occurrence of each element."""
+
+    def __init__(self, held: list[list]):
+        self.columns, entries, size = {}, [], 0
+        for i, elements in enumerate(held):
+            seen = {}
+            for x in elements:
+                at, k = self.columns.setdefault(x, []), seen.get(x, 0)
+                if k == len(at):
+                    at.append(size)
+                    size += 1
+                entries.append((i, at[k]))
+                seen[x] = k + 1
+        self.matrix = np.zeros((len(held), size), np.float32)
+        if entries:
+            self.matrix[tuple(np.array(entries).T)] = 1
+
+    def overlaps(self, rows: list) -> np.ndarray:
+        """How many elements each row shares with each item, occurrences counted."""
+        d = np.zeros((len(rows), self.matrix.shape[1]), np.float32)
+        for i, elements in enumerate(rows):
+            seen = {}
+            for x in elements:
+                at = self.columns.get(x)
+                if at is not None and (k := seen.get(x, 0)) < len(at):
+                    d[i, at[k]] = 1
+                    seen[x] = k + 1
+        return d @ self.matrix.T
 
 
 def evidence_everywhere(contexts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Every evidence (evidence_id, evidence) in every context (key, context), by the same rule: a row for each pair. Contexts
-    are read once, against all evidence."""
+    """Each evidence (evidence_id, evidence) and each context (key, context) that holds it, by the rule of evidence_hits: a row
+    (key, evidence_id, hit) for each such pair. Contexts are read once against each block of evidence, as a product of
+    incidence matrices; only where all but two of a passage's tokens are there can it stand as a part of the text, and is
+    looked for. Null texts hold nothing and are in nothing."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    tokens = lambda c: numbered(F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
-    c = contexts.select("key", plain(F.col("context")).alias("c")).withColumn("ct", tokens(F.col("c")))
-    e = evidence.select("evidence_id", plain(F.col("evidence")).alias("e")).withColumn("et", tokens(F.col("e")))
-    close = (F.size("et") >= 4) & (F.size(F.array_intersect("et", "ct")) >= 0.8 * F.size("et"))
-    return c.crossJoin(e).select("key", "evidence_id", F.when(F.expr("instr(c, e)") > 0, True).otherwise(F.coalesce(close, F.lit(False))).alias("hit"))
-
-
-@pandas_udf(StringType())
-def bigram_text(s: pd.Series) -> pd.Series:
-    """NFKC and casefolded, without blanks and punctuation."""
-    keep = lambda c: not c.isspace() and unicodedata.category(c)[0] not in "PZ"
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).casefold() if keep(c)))
-
-
-def bigrams(text: Column) -> Column:
-    at = F.sequence(F.lit(1), F.length(text) - 1)
-    return F.when(F.length(text) >= 2, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    tokens = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    c = contexts.where("context is not null").select("key", plain(F.col("context")).alias("c")).withColumn("t", tokens(F.col("c")))
+    e = evidence.where("evidence is not null").select("evidence_id", plain(F.col("evidence")).alias("e")).withColumn("t", tokens(F.col("e")))
+    kinds = [c.schema["key"].dataType.simpleString(), e.schema["evidence_id"].dataType.simpleString()]
+    found = None
+    for block in _blocks(e, "evidence_id"):
+        texts, held = block.column("e").to_pylist(), block.column("t").to_pylist()
+        shared = contexts.sparkSession.sparkContext.broadcast((texts, np.array([len(x) for x in held], np.int64), _Incidence(held)))
+        ids = block.column("evidence_id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
+            texts, n, matrix = shared.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    whole = part["c"].to_pylist()
+                    both = matrix.overlaps(part["t"].to_pylist()).astype(np.int64)
+                    hit = (n >= 4) & (10 * both >= 8 * n)
+                    for i, j in zip(*np.nonzero((both >= n - 2) & ~hit), strict=True):
+                        hit[i, j] = texts[j] in whole[i]
+                    i, j = np.nonzero(hit)
+                    yield pa.RecordBatch.from_arrays([part["key"].take(pa.array(i)), ids.take(pa.array(j)), pa.array(np.ones(len(i), bool))], names=["key", "evidence_id", "hit"])
+
+        own = c.mapInArrow(run, f"key {kinds[0]}, evidence_id {kinds[1]}, hit boolean")
+        found = own if found is None else found.unionAll(own)
+    return found
+
+
+@functools.cache
+def _dropped() -> dict[int, None]:
+    """Blanks and punctuation, all of Unicode's."""
+    return {i: None for i in range(sys.maxunicode + 1) if chr(i).isspace() or unicodedata.category(chr(i))[0] in "PZ"}
+
+
+def bigram_set(text: str | None) -> set[str]:
+    """Pairs of neighbouring characters of a text, after NFKC and case folding, without blanks and punctuation; none of null."""
+    t = unicodedata.normalize("NFKC", text or "").casefold().translate(_dropped())
+    return {t[i : i + 2] for i in range(len(t) - 1)}
+
+
+def bigram_overlaps(new: DataFrame, old: DataFrame, alike: bool = False) -> DataFrame:
+    """Each new text (id, text) against each old one (old_id, text): how many character pairs the new one has (n), the old one
+    (m), and both (c); with alike, only where they share one. Old texts are read once against each block of new ones, as a
+    product of incidence matrices."""
+    kinds = [new.schema["id"].dataType.simpleString(), old.schema["old_id"].dataType.simpleString()]
+    found = None
+    for block in _blocks(new, "id"):
+        held = [sorted(bigram_set(x)) for x in block.column("text").to_pylist()]
+        shared = new.sparkSession.sparkContext.broadcast((np.array([len(x) for x in held], np.int64), _Incidence(held)))
+        ids = block.column("id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
+            n, matrix = shared.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    grams = [bigram_set(x) for x in part["text"].to_pylist()]
+                    m, c = np.array([len(g) for g in grams], np.int64), matrix.overlaps(grams).astype(np.int64)
+                    i, j = np.nonzero(c if alike else np.ones_like(c))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), part["old_id"].take(pa.array(i)), pa.array(n[j]), pa.array(m[i]), pa.array(c[i, j])], names=["id", "old_id", "n", "m", "c"])
+
+        own = old.select("old_id", "text").mapInArrow(run, f"id {kinds[0]}, old_id {kinds[1]}, n long, m long, c long")
+        found = own if found is None else found.unionAll(own)
+    return found
 
 
 def chunks(text: str, size: int) -> list[str]:
@@ -138,14 +220,11 @@ def chunked(df: DataFrame, size: int) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def recalled(new: DataFrame, old: DataFrame, by: list[str], each: int) -> DataFrame:
-    """For each new entry (by, id, grams) in turn the `each` most alike old ones that none before took; only alike ones count, ties by
-    id; without by, all are one group. Taking depends on what was taken before, so a group's entries are one task: those before
+def recalled(scored: DataFrame, each: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each new entry in turn the `each` most alike old ones (by, id, old_id, score) that none before took; ties by id; without
+    by, all are one group. Taking depends on what was taken before, so a group's entries are one task: those before
     the n-th took at most `each` * (n - 1), so its first `each` * n are all that it can take from, and only they go there."""
-    turn = new.select(*by, "id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
-    a, b = new.select(*by, "id", F.col("grams").alias("g")), old.select(*by, F.col("id").alias("old_id"), F.col("grams").alias("o"))
-    both = (b.join(a, by) if by else b.crossJoin(a)).select(*by, "id", "old_id", F.size("g").alias("n"), F.size("o").alias("m"), F.size(F.array_intersect("g", "o")).alias("c")).where("c > 0")
-    scored = both.select(*by, "id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score"))
+    turn = scored.select(*by, "id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
     w = Window.partitionBy(*by, "id").orderBy(F.col("score").desc(), "old_id")
     alike = scored.withColumn("place", F.row_number().over(w)).join(turn, [*by, "id"]).where(F.col("place") <= F.col("turn") * each).drop("place", "turn")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alike.schema if f.name not in ("score",))

@@ -67,7 +67,9 @@ def event_expectations(episodes: DataFrame, now_us: int, hours: int = 6, least:
     span = hours * 3_600_000_000
     a = episodes.select("lane", F.col("kind").alias("antecedent"), F.col("start_us").alias("a_us"), "last_us").where(F.col("a_us") <= now_us)
     b = episodes.select("lane", F.col("kind").alias("consequent"), F.col("start_us").alias("b_us")).where(F.col("b_us") <= now_us)
-    j = a.join(b, "lane").where((F.col("antecedent") != F.col("consequent")) & (F.col("b_us") > F.col("last_us")) & (F.col("b_us") <= F.col("last_us") + span))
+    # an act meets those of the days that its window can reach
+    a_day, reach = F.floor(F.col("last_us") / DAY_US), F.explode(F.sequence(F.floor((F.col("b_us") - span) / DAY_US), F.floor(F.col("b_us") / DAY_US)))
+    j = a.withColumn("d", a_day).join(b.withColumn("d", reach), ["lane", "d"]).where((F.col("antecedent") != F.col("consequent")) & (F.col("b_us") > F.col("last_us")) & (F.col("b_us") <= F.col("last_us") + span))
     key = ["lane", "antecedent", "consequent"]
     first = j.groupBy(*key, "a_us").agg(F.min(F.col("b_us") - F.col("last_us")).alias("off"))
     done = first.where(F.col("a_us") > now_us - span).select(*key, "a_us")

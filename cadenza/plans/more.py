@@ -51,8 +51,8 @@ def formed_expectations(spark, d):
 
 def recalled_entries(spark, d):
     """Benchmark items and the two most alike documents that no earlier item took."""
-    grams = lambda t, key: t.select(F.col(key).alias("id"), X.bigram_text("text").alias("t")).select("id", X.bigrams(F.col("t")).alias("grams"))
-    return X.recalled(grams(S.table(spark, d, "benchmark"), "item_id"), grams(S.table(spark, d, "documents"), "doc_id"), [], 2)
+    both = X.bigram_overlaps(S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), S.table(spark, d, "documents").select(F.col("doc_id").alias("old_id"), "text"), alike=True)
+    return X.recalled(both.select("id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")), 2)
 
 
 W = f"WITH {S.SQL.strip()}, {DAYS_SQL.strip()}, {STRATA.strip()}"

@@ -48,7 +48,7 @@ def edge_readings(spark, d):
     return R.edge_readings(m, ["lane", "kind"])
 
 
-def _all_expectations(spark, d):
+def _expectations(spark, d):
     """Every order expects a shipment 20 to 60 days later, looked for from 1 to 90 days; some were spoken of."""
     o = S.table(spark, d, "orders")
     at = micros("o_orderdate")
@@ -58,11 +58,6 @@ def _all_expectations(spark, d):
     )
 
 
-def _expectations(spark, d):
-    """Of every tenth order, as the SQL of the queries without _all has it."""
-    return _all_expectations(spark, d).where(F.col("id") % 10 == 3)
-
-
 def _ships(spark, d):
     x = S.table(spark, d, "lineitem").where("l_returnflag <> 'R'")
     return x.select(F.col("l_orderkey").alias("order"), micros("l_shipdate").alias("at_us"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uri"))
@@ -82,33 +77,16 @@ def settlements(spark, d):
     return R.settle(_expectations(spark, d), _ships(spark, d), ["order"]).select("id", "at_us", "uri", "outcome", "offset_minutes")
 
 
-def settlements_all(spark, d):
-    return R.settle(_all_expectations(spark, d), _ships(spark, d), ["order"]).select("id", "at_us", "uri", "outcome", "offset_minutes")
-
-
 def settlement_summary(spark, d):
     return _summary(settlements(spark, d))
 
 
-def settlement_summary_all(spark, d):
-    return _summary(settlements_all(spark, d))
-
-
 def overdue_rulings(spark, d):
     return _rulings(_expectations(spark, d), _ships(spark, d))
 
 
-def overdue_rulings_all(spark, d):
-    return _rulings(_all_expectations(spark, d), _ships(spark, d))
-
-
 def shipment_omissions(spark, d):
-    rows = _ships(spark, d).where(F.col("order") % 10 == 3)
-    return R.omissions(rows, _expectations(spark, d), ["order"]).select("order", "uri")
-
-
-def shipment_omissions_all(spark, d):
-    return R.omissions(_ships(spark, d), _all_expectations(spark, d), ["order"]).select("order", "uri")
+    return R.omissions(_ships(spark, d), _expectations(spark, d), ["order"]).select("order", "uri")
 
 
 def standing_facts(spark, d):
@@ -126,10 +104,6 @@ def offset_strengths(spark, d):
     return _strengths(_expectations(spark, d), _ships(spark, d))
 
 
-def offset_strengths_all(spark, d):
-    return _strengths(_all_expectations(spark, d), _ships(spark, d))
-
-
 def first_closing_responses(spark, d):
     """Of each conversation's assistant turns: the first that closes (text without a question mark at its end), else the last."""
     c = S.table(spark, d, "conversations").where("role = 'assistant'").withColumn("closes", F.length("text") % 2 == 0)
@@ -162,7 +136,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY lane, kind ORDER BY at_us, uri)
 t AS (SELECT lane, kind, sum(CASE WHEN came THEN strength * pow(0.5, (last_rank - rank) / 8.0) ELSE 0 END) AS k, sum(strength * pow(0.5, (last_rank - rank) / 8.0)) AS n, count(*) AS opportunities FROM w GROUP BY lane, kind)
 """
 ST = f"""WITH x AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) + {DAY} AS from_us, epoch_us(o_orderdate) + {20 * DAY} AS start_us, epoch_us(o_orderdate) + {60 * DAY} AS end_us, epoch_us(o_orderdate) + {90 * DAY} AS to_us,
-CASE WHEN o_orderkey % 4 = 1 THEN epoch_us(o_orderdate) + {50 * DAY} END AS spoken_us FROM orders WHERE o_orderkey % 10 = 3),
+CASE WHEN o_orderkey % 4 = 1 THEN epoch_us(o_orderdate) + {50 * DAY} END AS spoken_us FROM orders),
 sh AS (SELECT l_orderkey AS ord, epoch_us(l_shipdate) AS at_us, l_orderkey * 10 + l_linenumber AS uri FROM lineitem WHERE l_returnflag <> 'R'),
 f AS (SELECT id, min((at_us, uri)) AS hit FROM x JOIN sh ON ord = id AND at_us > from_us AND at_us <= to_us GROUP BY id),
 s AS (SELECT x.*, hit[1] AS at_us, hit[2] AS uri FROM x LEFT JOIN f ON f.id = x.id),
@@ -178,7 +152,7 @@ SQL = {
     "settlement_summary": ST + "SELECT outcome, count(*) AS n, CAST(sum(offset_minutes) AS BIGINT) AS minutes FROM se GROUP BY outcome",
     "overdue_rulings": ST + f""", g AS (SELECT id, to_us, min((sh.at_us, sh.uri)) AS hit FROM se JOIN sh ON ord = id AND sh.at_us > to_us AND (id % 3 <> 0 OR sh.at_us < to_us + {1000 * DAY}) WHERE outcome = 'overdue' GROUP BY id, to_us)
 SELECT id, hit[2] AS uri, CAST(greatest(1, round((hit[1] - to_us) / 60000000.0)) AS BIGINT) AS delay_minutes FROM g""",
-    "shipment_omissions": ST + 'SELECT ord AS "order", uri FROM sh WHERE ord % 10 = 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.id = ord AND at_us > from_us AND at_us <= to_us)',
+    "shipment_omissions": ST + 'SELECT ord AS "order", uri FROM sh WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = ord AND at_us > from_us AND at_us <= to_us)',
     "standing_facts": f"WITH {S.SQL.strip()}, f AS (SELECT lane * 100 + k % 7 AS id, k % 3 AS precedence, k % 2 = 0 AS is_revision, uri AS seq FROM ev) SELECT id, precedence, is_revision, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY precedence DESC, is_revision DESC, seq DESC) AS r FROM f) WHERE r = 1",
     "offset_strengths": ST + f""", a AS (SELECT id % 70 AS bucket, id, start_us, coalesce(offset_minutes, 0) AS o FROM se WHERE outcome <> 'overdue')
 SELECT bucket, id, CASE WHEN o = 0 OR (SELECT count(*) FROM a p WHERE p.bucket = a.bucket AND p.start_us < a.start_us) < 2 THEN 1.0 ELSE round((SELECT avg((abs(p.o) >= abs(a.o))::INT::DOUBLE) FROM a p WHERE p.bucket = a.bucket AND p.start_us < a.start_us), {P}) END AS strength FROM a""",
@@ -188,7 +162,4 @@ SELECT bucket, id, CASE WHEN o = 0 OR (SELECT count(*) FROM a p WHERE p.bucket =
 n AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY lane ORDER BY start_us, uri ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
 c AS (SELECT *, sum(new) OVER (PARTITION BY lane ORDER BY start_us, uri) AS component FROM n) SELECT lane, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM c GROUP BY lane, component""",
 }
-# The same of all orders: queries of their own, as the SQL above stands.
-TENTH = ("settlements", "settlement_summary", "overdue_rulings", "shipment_omissions", "offset_strengths")
-SQL |= {f"{n}_all": SQL[n].replace(" WHERE o_orderkey % 10 = 3", "").replace("ord % 10 = 3 AND ", "") for n in TENTH}
 QUERIES = {n: globals()[n] for n in SQL} | {"account_readings": account_readings, "edge_readings": edge_readings, "calibration_bounds": calibration_bounds}

@@ -104,7 +104,7 @@ def class_density(spark, d):
 
 
 def _profile(spark, d):
-    return T.day_profile(_eps(spark, d), T.missed_slots(_pieces(spark, d)))
+    return T.day_profile(_eps(spark, d), T.missed_slots(_pieces(spark, d)), F.lit(LAST).cast("date"))
 
 
 def class_day_profile(spark, d):
@@ -112,12 +112,13 @@ def class_day_profile(spark, d):
 
 
 def class_peaks(spark, d):
-    return _round(T.peaks(_profile(spark, d)), "share", digits=9).select("lane", "kind", "first_slot", "last_slot", "share")
+    """Peaks of a class's profile that two of its recent days or more started in."""
+    return _round(T.peaks(_profile(spark, d), days=T.profile_days(_eps(spark, d))), "share", digits=9).select("lane", "kind", "first_slot", "last_slot", "share", "days")
 
 
 def _intervals(spark, d):
     days, shares = _days(spark, d), _shares(spark, d)
-    return T.day_intervals(days, shares, T.density(days, shares))
+    return T.day_intervals(days, shares, T.density(days, shares), _profile(spark, d), T.missed_slots(_pieces(spark, d)))
 
 
 def class_day_intervals(spark, d):
@@ -218,15 +219,20 @@ wat AS (SELECT n.lane, n.kind, sum(share) AS watched FROM nat n JOIN shares s ON
 dens AS (SELECT n.lane, n.kind, occurrences, occurrence_days, watched, watched / occurrences AS days_per_occurrence, least(occurrence_days / watched, 1.0) AS occurrence_day_share
   FROM nat n JOIN wat w ON n.lane = w.lane AND n.kind = w.kind WHERE watched > 0)
 """
+#: seen: the product, over watched days between, of 1 - min(share of days * sum over slots of profile * (1 - watched), 1), with a
+#: flat profile of 1/96 a slot for a class that has none.
 INTERVALS_SQL = """
 iv0 AS (SELECT lane, kind, lag(day) OVER (PARTITION BY lane, kind ORDER BY day) AS previous, day AS following, "natural" = 0 AS censored FROM days),
+un9 AS (SELECT c.lane, c.kind, m.day, sum(coalesce(p.share, CASE WHEN h.lane IS NULL THEN 1.0 / 96 ELSE 0 END) * m.missed) AS away FROM (SELECT DISTINCT lane, kind FROM days) c JOIN missed m ON m.lane = c.lane JOIN shares s ON s.lane = m.lane AND s.day = m.day
+  LEFT JOIN (SELECT DISTINCT lane, kind FROM prof) h ON h.lane = c.lane AND h.kind = c.kind LEFT JOIN prof p ON p.lane = c.lane AND p.kind = c.kind AND p.slot = m.slot GROUP BY 1, 2, 3),
 iv AS (SELECT i.lane, i.kind, previous, following, censored, date_diff('day', previous, following) AS days,
-  coalesce((SELECT product(1 - least(coalesce(d.occurrence_day_share, 1.0) * (1 - s.share), 1.0)) FROM shares s WHERE s.lane = i.lane AND s.day > i.previous AND s.day < i.following AND s.share < 1), 1.0) AS seen
+  coalesce((SELECT product(1 - least(coalesce(d.occurrence_day_share, 1.0) * u.away, 1.0)) FROM un9 u WHERE u.lane = i.lane AND u.kind = i.kind AND u.day > i.previous AND u.day < i.following), 1.0) AS seen
   FROM iv0 i LEFT JOIN dens d ON d.lane = i.lane AND d.kind = i.kind WHERE previous IS NOT NULL)
 """
 PROFILE_SQL = """
 on0 AS (SELECT DISTINCT lane, kind, day, CAST((start_us % 86400000000) // 900000000 AS INT) AS slot FROM eps WHERE "natural"),
-on1 AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY lane, kind ORDER BY day DESC) AS r FROM on0) WHERE r <= 30),
+on2 AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY lane, kind ORDER BY day DESC) AS r FROM on0) WHERE r <= 30),
+on1 AS (SELECT * FROM on2 WHERE day <= DATE '2024-01-30'),
 nd AS (SELECT lane, kind, count(DISTINCT day)::DOUBLE AS n_days FROM on1 GROUP BY lane, kind),
 tp AS (SELECT lane, kind, slot, count(*)::DOUBLE AS top FROM on1 GROUP BY lane, kind, slot),
 ls AS (SELECT o.lane, o.kind, m.slot, sum(missed) AS lost FROM (SELECT DISTINCT lane, kind, day FROM on1) o JOIN missed m ON m.lane = o.lane AND m.day = o.day GROUP BY o.lane, o.kind, m.slot),
@@ -275,10 +281,10 @@ SQL = {
 bg AS (SELECT *, above AND NOT coalesce(lag(above) OVER (PARTITION BY lane, kind ORDER BY pos), false) AS begins FROM tw),
 ru AS (SELECT *, sum(begins::INT) OVER (PARTITION BY lane, kind ORDER BY pos) AS run FROM bg),
 pk AS (SELECT lane, kind, CAST(min(pos) AS INT) AS first_slot, CAST(max(pos) AS INT) AS last_slot, sum(share) AS share FROM ru WHERE above GROUP BY lane, kind, run)
-SELECT p.lane, p.kind, first_slot, last_slot, round(share, 9) AS share FROM pk p JOIN (SELECT lane, kind, bool_or(slot = 95 AND share > 1.0 / 96) AS wraps, bool_and(share > 1.0 / 96) AS whole FROM prof GROUP BY lane, kind) w
+SELECT p.lane, p.kind, first_slot, last_slot, round(share, 9) AS share, days FROM (SELECT pk.lane, pk.kind, first_slot, last_slot, share, count(DISTINCT o.day) AS days FROM pk JOIN on2 o ON o.lane = pk.lane AND o.kind = pk.kind AND (o.slot - first_slot + 96) % 96 <= last_slot - first_slot GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT o.day) >= 2) p JOIN (SELECT lane, kind, bool_or(slot = 95 AND share > 1.0 / 96) AS wraps, bool_and(share > 1.0 / 96) AS whole FROM prof GROUP BY lane, kind) w
   ON p.lane = w.lane AND p.kind = w.kind WHERE first_slot < 96 AND NOT (first_slot = 0 AND wraps) AND NOT whole AND share >= 0.1""",
-    "class_day_intervals": _with(DAYS_SQL, PIECES_SQL, DENSITY_SQL, INTERVALS_SQL) + "SELECT lane, kind, CAST(previous AS VARCHAR) AS previous, CAST(following AS VARCHAR) AS following, CAST(days AS INT) AS days, round(seen, 9) AS seen, censored FROM iv",
-    "class_median_days": _with(DAYS_SQL, PIECES_SQL, DENSITY_SQL, INTERVALS_SQL)
+    "class_day_intervals": _with(DAYS_SQL, PIECES_SQL, DENSITY_SQL, PROFILE_SQL, INTERVALS_SQL) + "SELECT lane, kind, CAST(previous AS VARCHAR) AS previous, CAST(following AS VARCHAR) AS following, CAST(days AS INT) AS days, round(seen, 9) AS seen, censored FROM iv",
+    "class_median_days": _with(DAYS_SQL, PIECES_SQL, DENSITY_SQL, PROFILE_SQL, INTERVALS_SQL)
     + """, ok AS (SELECT lane, kind, days, round(seen, 9) AS seen, following FROM iv WHERE NOT censored AND round(seen, 9) > 0),
 rn AS (SELECT *, sum(seen) OVER (PARTITION BY lane, kind ORDER BY days, seen, following ROWS UNBOUNDED PRECEDING) AS run, sum(seen) OVER (PARTITION BY lane, kind) AS total FROM ok)
 SELECT lane, kind, min(days)::DOUBLE AS median_days FROM rn WHERE run >= total / 2 - 1e-12 GROUP BY lane, kind""",

@@ -16,7 +16,7 @@ def _vectors(spark, d):
 
 
 def _queries(spark, d):
-    return _vectors(spark, d).where("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    return _vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 def _hits(spark, d, k=10):
@@ -28,7 +28,7 @@ def vector_search(spark, d):
 
 
 def vector_search_filtered(spark, d):
-    q = _queries(spark, d).where("query_id = 25")
+    q = _queries(spark, d).where("query_id = 100")
     return V.search_many(V.matches(_vectors(spark, d), equals={"label": 3}, one_of=None), q, 10).select("id", "rank")
 
 
@@ -42,12 +42,6 @@ def vector_scan(spark, d):
 
 
 def vector_upsert(spark, d):
-    t = _vectors(spark, d).select("id", "label").where("id < 300")
-    c = S.table(spark, d, "events").where("event_id < 600").select((F.col("event_id") % 400).alias("id"), (F.col("user_id") % 10).cast("int").alias("label"), F.col("event_id").alias("seq"))
-    return V.upsert(t, c)
-
-
-def vector_upsert_all(spark, d):
     """All events' changes into all vectors: four events change an id, and every other id is changed or new."""
     c = S.table(spark, d, "events").select(F.expr("event_id div 4 * 2").alias("id"), (F.col("user_id") % 10).cast("int").alias("label"), F.col("event_id").alias("seq"))
     return V.upsert(_vectors(spark, d).select("id", "label"), c)
@@ -124,41 +118,28 @@ def clean_lines(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.length(X.clean_line(F.col("text"))).alias("n"))
 
 
-def _spans(spark, d):
-    doc = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("context"))
-    item = S.table(spark, d, "benchmark").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"), F.col("item_id"), F.col("text").alias("evidence"))
-    ev = item.select((F.col("item_id") * 10 + F.col("j")).alias("key"), F.col("item_id").alias("evidence_id"), "evidence")
-    return X.evidence_hits(doc, ev, "key")
-
-
-def evidence_hits(spark, d):
-    return _spans(spark, d)
-
-
-def evidence_recall(spark, d):
-    return _spans(spark, d).groupBy("evidence_id").agg(F.round(F.avg(F.col("hit").cast("double")), P).alias("recall"))
-
-
-def _everywhere(spark, d):
+def _hits_of_items(spark, d):
     doc = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("context"))
     return X.evidence_everywhere(doc, S.table(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("evidence")))
 
 
-def evidence_hits_all(spark, d):
+def evidence_hits(spark, d):
     """Each benchmark item and each document that holds it, of all documents."""
-    return _everywhere(spark, d).where("hit")
+    return _hits_of_items(spark, d)
 
 
-def evidence_recall_all(spark, d):
-    return _everywhere(spark, d).groupBy("evidence_id").agg(F.round(F.avg(F.col("hit").cast("double")), P).alias("recall"))
+def evidence_recall(spark, d):
+    """The part of all documents that hold each benchmark item."""
+    n = S.table(spark, d, "documents").agg(F.count("*").alias("n"))
+    by = _hits_of_items(spark, d).groupBy("evidence_id").agg(F.count("*").alias("c"))
+    items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id")).join(by, "evidence_id", "left")
+    return items.join(F.broadcast(n)).select("evidence_id", F.round(F.coalesce("c", F.lit(0)) / F.col("n"), P).alias("recall"))
 
 
 def bigram_similarity(spark, d):
     """Each benchmark item against each document, by Jaccard similarity of character pairs."""
-    a = S.table(spark, d, "benchmark").select("item_id", X.bigram_text("text").alias("t")).select("item_id", X.bigrams(F.col("t")).alias("a"))
-    b = S.table(spark, d, "documents").select("doc_id", X.bigram_text("text").alias("t")).select("doc_id", X.bigrams(F.col("t")).alias("b"))
-    both = b.crossJoin(a).select("item_id", "doc_id", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("c"))
-    return both.select("item_id", "doc_id", F.round(F.col("c") / F.nullif(F.col("n") + F.col("m") - F.col("c"), F.lit(0)), P).alias("similarity"))
+    both = X.bigram_overlaps(S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), S.table(spark, d, "documents").select(F.col("doc_id").alias("old_id"), "text"))
+    return both.select(F.col("id").alias("item_id"), F.col("old_id").alias("doc_id"), F.round(F.col("c") / F.nullif(F.col("n") + F.col("m") - F.col("c"), F.lit(0)), P).alias("similarity"))
 
 
 def document_chunks(spark, d):
@@ -210,26 +191,24 @@ def capacity_shares(spark, d):
     return p.select("source", "used", F.round(F.col("used") / 200_000, P).alias("share"))
 
 
-HIT = "WITH q AS (SELECT vec_id AS query_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id % 25 = 0), sc AS (SELECT query_id, vec_id AS id, label, ql, list_sum(list_transform(list_zip(embedding, qvec), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM embeddings, q), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"
+HIT = "WITH q AS (SELECT vec_id AS query_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id % 100 = 0), sc AS (SELECT query_id, vec_id AS id, label, ql, list_sum(list_transform(list_zip(embedding, qvec), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM embeddings, q), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"
 HEAT = f"WITH {S.SQL.strip()}, ht AS (SELECT lane AS id, (count(*) % 6 + 1) / (count(*) % 6 + 2) * pow(2.0, -greatest((1707000000000000 - max(start_us)) / 86400000000.0, 0) / 3.0) AS hot FROM ev GROUP BY lane)"
 TEMP = "CASE WHEN hot < 0.08 THEN 'cold2' WHEN hot < 0.2 THEN 'cold1' WHEN hot > 0.6 THEN 'hot' ELSE 'warm' END"
 SECRETS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bBearer\s+[^\s,;]+', 'Bearer [REDACTED]', 'g'), '(?i)\b(api[_-]?key|authorization|password|secret|token)\b\s*[:=]\s*[^\s,;]+', '\1=[REDACTED]', 'g'),
 '(?i)\b(access[\s_-]?key(?:[\s_-]?id)?|secret(?:[\s_-]?key)?|token|password|credential)\s*\[[^\]\s]+\]', '\1[REDACTED]', 'g'), '(?i)\b(?:ghp|github_pat|sk|xox[baprs])[-_][A-Za-z0-9._-]+', '[REDACTED]', 'g')"""
-EVID = r"""WITH ev AS (SELECT item_id * 10 + j AS key, item_id AS evidence_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS e FROM benchmark, (SELECT unnest(range(10)) AS j)),
-bo AS (SELECT key, evidence_id, e, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS c FROM ev JOIN documents ON doc_id = key),
+EVID = r"""WITH ev AS (SELECT item_id AS evidence_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS e FROM benchmark),
+bo AS (SELECT doc_id AS key, evidence_id, e, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS c FROM ev, documents),
 tk AS (SELECT *, list_filter(regexp_split_to_array(e, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS et, list_filter(regexp_split_to_array(c, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ct, contains(c, e) AS inside FROM bo),
 a AS (SELECT key, evidence_id, t, count(*) AS a FROM (SELECT key, evidence_id, unnest(et) AS t FROM tk) GROUP BY 1, 2, 3), b AS (SELECT key, evidence_id, t, count(*) AS b FROM (SELECT key, evidence_id, unnest(ct) AS t FROM tk) GROUP BY 1, 2, 3),
 o AS (SELECT key, evidence_id, sum(least(a, b)) AS s FROM a JOIN b USING (key, evidence_id, t) GROUP BY 1, 2),
 h AS (SELECT tk.key, tk.evidence_id, inside OR (len(et) >= 4 AND coalesce(s, 0) >= 0.8 * len(et)) AS hit FROM tk LEFT JOIN o ON o.key = tk.key AND o.evidence_id = tk.evidence_id)
 """
-EVID_ALL = EVID.replace("item_id * 10 + j AS key, ", "").replace("benchmark, (SELECT unnest(range(10)) AS j)", "benchmark").replace("SELECT key, evidence_id, e,", "SELECT doc_id AS key, evidence_id, e,", 1).replace("ev JOIN documents ON doc_id = key", "ev, documents")
 SQL = {
     "vector_search": HIT + f" SELECT query_id, id, rank, round(score, {P}) AS score FROM rk WHERE rank <= 10",
-    "vector_search_filtered": HIT + " SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE query_id = 25 AND label = 3 QUALIFY rank <= 10",
+    "vector_search_filtered": HIT + " SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE query_id = 100 AND label = 3 QUALIFY rank <= 10",
     "vector_normalise": f"SELECT vec_id AS id, 1.0 AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {P}) AS first FROM embeddings",
     "vector_scan": "SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 4) ORDER BY vec_id LIMIT 20",
-    "vector_upsert": "WITH c AS (SELECT event_id % 400 AS id, CAST(user_id % 10 AS INT) AS label FROM events WHERE event_id < 600 QUALIFY row_number() OVER (PARTITION BY event_id % 400 ORDER BY event_id DESC) = 1) SELECT id, label FROM c UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id < 300 AND vec_id NOT IN (SELECT id FROM c)",
-    "vector_upsert_all": "WITH c AS (SELECT event_id // 4 * 2 AS id, CAST(user_id % 10 AS INT) AS label FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id DESC) = 1) SELECT id, label FROM c UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM c)",
+    "vector_upsert": "WITH c AS (SELECT event_id // 4 * 2 AS id, CAST(user_id % 10 AS INT) AS label FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id DESC) = 1) SELECT id, label FROM c UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM c)",
     "vector_delete": "SELECT vec_id AS id, label FROM embeddings WHERE label <> 2",
     "vector_read": "SELECT doc_id AS position, vec_id AS id, label FROM labels JOIN embeddings ON vec_id = doc_id * 3",
     "index_consistency": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'stale' END AS state FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 UNION ALL SELECT item_id + 1000000, 'orphan' FROM benchmark",
@@ -248,10 +227,8 @@ t AS (SELECT *, CAST(sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT
     "semantic_boundaries": f"SELECT id, round(least(greatest(1 - list_sum(list_transform(list_zip(vec, before), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 0), 2), {P}) AS distance FROM (SELECT vec_id AS id, embedding AS vec, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings) WHERE before IS NOT NULL",
     "redacted_documents": f"WITH r AS (SELECT doc_id, {SECRETS_SQL} AS safe FROM documents) SELECT doc_id, md5(safe) AS digest, CAST((length(safe) - length(replace(safe, '[REDACTED]', ''))) // 10 AS BIGINT) AS n FROM r",
     "clean_lines": r"SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(text, '[\p{C}\p{Z}]', ' ', 'g'), '\s+', ' ', 'g'))) AS INT) AS n FROM documents",
-    "evidence_hits": EVID + "SELECT key, evidence_id, hit FROM h",
+    "evidence_hits": EVID + "SELECT key, evidence_id, hit FROM h WHERE hit",
     "evidence_recall": EVID + f"SELECT evidence_id, round(avg(hit::INT::DOUBLE), {P}) AS recall FROM h GROUP BY 1",
-    "evidence_hits_all": EVID_ALL + "SELECT key, evidence_id, hit FROM h WHERE hit",
-    "evidence_recall_all": EVID_ALL + f"SELECT evidence_id, round(avg(hit::INT::DOUBLE), {P}) AS recall FROM h GROUP BY 1",
     "latency_distribution": f"SELECT event_type, count(*) AS count, round(avg(value), {P}) AS average, round(quantile_cont(value, 0.5), {P}) AS p50, round(quantile_cont(value, 0.95), {P}) AS p95, round(quantile_cont(value, 0.99), {P}) AS p99, round(max(value), {P}) AS maximum FROM events GROUP BY 1",
     "boundary_points": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median, round(mad(o_totalprice), 4) AS mad FROM orders GROUP BY 1",
     "quality_report": f"SELECT lang, count(*) AS n, CAST(sum(((n_chars > 800) = (quality = 1))::INT) AS BIGINT) AS correct, round(avg(((n_chars > 800) = (quality = 1))::INT::DOUBLE), {P}) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY 1",

@@ -12,17 +12,17 @@ QUERIES = registry.queries()
 
 def test_every_order_is_settled(spark, sf):
     orders = S.table(spark, sf, "orders")
-    got = QUERIES["settlements_all"](spark, sf)
+    got = QUERIES["settlements"](spark, sf)
     assert got.count() == got.select("id").distinct().count() == orders.count()
-    assert QUERIES["settlement_summary_all"](spark, sf).agg(F.sum("n")).first()[0] == orders.count()
-    for name, key in (("overdue_rulings_all", "id"), ("shipment_omissions_all", "order"), ("offset_strengths_all", "id")):
+    assert QUERIES["settlement_summary"](spark, sf).agg(F.sum("n")).first()[0] == orders.count()
+    for name, key in (("overdue_rulings", "id"), ("shipment_omissions", "order"), ("offset_strengths", "id")):
         assert QUERIES[name](spark, sf).where(f"`{key}` % 10 <> 3").count() > 0
 
 
 def test_every_event_is_upserted(spark, sf):
     events, held = S.table(spark, sf, "events"), S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     written = events.select(F.expr("event_id div 4 * 2").alias("id")).distinct()
-    got = QUERIES["vector_upsert_all"](spark, sf).select("id")
+    got = QUERIES["vector_upsert"](spark, sf).select("id")
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in written.union(held).distinct().collect())
 
 
