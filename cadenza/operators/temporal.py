@@ -134,8 +134,10 @@ def day_profile(eps: DataFrame, missed: DataFrame, last_day: Column | None = Non
     lost = missed.groupBy("lane", "day").agg(F.collect_list(F.struct("slot", "missed")).alias("lost"))
     entry = lambda slot, t, d, m: F.struct(slot.cast("int").alias("slot"), t.alias("top"), d.alias("days"), m.alias("lost"))
     one, none = F.lit(1.0), F.lit(0.0)
-    each = F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: entry(i, none, one, none)), F.transform("slots", lambda i: entry(i, one, none, none)),
+    days = days.withColumns({"n_days": F.count("*").over(Window.partitionBy(*CLASS)), "latest": F.row_number().over(w) == 1})
+    grid = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: entry(i, none, F.col("n_days").cast("double"), none))
+    each = F.concat(  # all slots once a class, then what each day adds
+        F.when(F.col("latest"), grid).otherwise(F.slice(grid, 1, 0)), F.transform("slots", lambda i: entry(i, one, none, none)),
         F.transform(F.coalesce("lost", F.array().cast("array<struct<slot:int,missed:double>>")), lambda x: entry(x["slot"], none, none, x["missed"].cast("double"))),
     )
     rates = days.join(lost, ["lane", "day"], "left").select(*CLASS, F.inline(each)).groupBy(*CLASS, "slot").agg(F.sum("top").alias("top"), (F.sum("days") - F.sum("lost")).alias("bottom"))
