@@ -75,9 +75,10 @@ def prior_levels(answers: DataFrame, by: list[str]) -> DataFrame:
 
 
 def levels(readings: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """Level of each account over time (by, seq, lower, upper): 1 from a lower bound at the threshold on, 0 from an upper bound
-    below it on, else as it was before (0 at first): the last decided value, without a loop."""
-    clear = F.when(F.col("lower") >= threshold, 1).when(F.col("upper") < threshold, 0)
+    """Level of each account over time (by, seq, lower, upper, setting): 1 where the user set always, 0 where never; else 1 from a
+    lower bound at the threshold on, 0 from an upper bound below it on, else as it was before (0 at first): the last decided
+    value, without a loop."""
+    clear = F.when(F.col("setting") == "always", 1).when((F.col("setting") == "never") | (F.col("upper") < threshold), 0).when(F.col("lower") >= threshold, 1)
     w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return readings.withColumn("level", F.coalesce(F.last(clear, ignorenulls=True).over(w), F.lit(0)))
 

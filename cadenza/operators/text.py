@@ -54,9 +54,13 @@ def safe_boundaries(messages: DataFrame) -> DataFrame:
     return messages.withColumn("after", after).where((F.col("role") == "assistant") & (F.col("after").isNull() | (F.col("after") == "user"))).drop("after")
 
 
+#: Characters outside the wide scripts.
+NOT_WIDE = "[^ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"
+
+
 def estimated_tokens(text: Column) -> Column:
     """Rounded up: 0.25 a character, 1.5 for wide scripts, 2 beyond the basic plane."""
-    wide = F.length(F.regexp_replace(text, r"[^ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]", ""))
+    wide = F.length(F.regexp_replace(text, NOT_WIDE, ""))
     astral = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
     return F.ceil(wide * 1.5 + astral * 2 + (F.length(text) - wide - astral) * 0.25).cast("long")
 

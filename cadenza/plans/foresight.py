@@ -59,7 +59,7 @@ def prior_weights(spark, d):
 
 
 def account_levels(spark, d):
-    e = S.records(spark, d).select("lane", "kind", F.col("start_us").alias("seq"), "uri", (F.col("k") / 100).alias("lower"), (F.col("k") / 100 + 0.2).alias("upper"))
+    e = S.records(spark, d).select("lane", "kind", F.col("start_us").alias("seq"), "uri", (F.col("k") / 100).alias("lower"), (F.col("k") / 100 + 0.2).alias("upper"), F.when(F.col("k") % 19 == 0, "always").when(F.col("k") % 19 == 1, "never").alias("setting"))
     return X.levels(e, ["lane", "kind"], 0.6).select("uri", "level")
 
 
@@ -176,7 +176,7 @@ SQL = {
     "situation_streaks": EV + f", a AS (SELECT DISTINCT lane, start_us AS at_us FROM rec WHERE kind = 'purchase') SELECT lane, at_us, " + " AND ".join(f"EXISTS (SELECT 1 FROM rec r WHERE r.lane = a.lane AND r.start_us < at_us - {i * DAY} AND r.start_us >= at_us - {(i + 1) * DAY})" for i in range(3)) + " AS held FROM a",
     "class_markers": EP + ", g AS (SELECT lane, kind, day, date_diff('day', lag(day) OVER (PARTITION BY lane, kind ORDER BY day), day) AS gap FROM days) SELECT lane, kind, CAST(day AS VARCHAR) AS day, CASE WHEN gap IS NULL THEN 'first_seen' ELSE 'return' END AS marker FROM g WHERE gap IS NULL OR gap >= 10",
     "prior_weights": EV + ", s AS (SELECT lane, kind, max(k % 3) - min(k % 3) AS spread, CAST(round_even(median(k % 3), 0) AS INT) AS mid FROM ev GROUP BY 1, 2), l AS (SELECT lane, kind, CASE WHEN spread >= 2 THEN 1 ELSE mid END AS level FROM s) SELECT lane, kind, level, CASE level WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM l",
-    "account_levels": EV + " SELECT uri, coalesce(last_value(CASE WHEN k / 100 >= 0.6 THEN 1 WHEN k / 100 + 0.2 < 0.6 THEN 0 END IGNORE NULLS) OVER (PARTITION BY lane, kind ORDER BY start_us ROWS UNBOUNDED PRECEDING), 0) AS level FROM rec",
+    "account_levels": EV + " SELECT uri, coalesce(last_value(CASE WHEN k % 19 = 0 THEN 1 WHEN k % 19 = 1 THEN 0 WHEN k / 100 >= 0.6 THEN 1 WHEN k / 100 + 0.2 < 0.6 THEN 0 END IGNORE NULLS) OVER (PARTITION BY lane, kind ORDER BY start_us ROWS UNBOUNDED PRECEDING), 0) AS level FROM rec",
     "delivery_decisions": EV + ", t AS (SELECT uri AS id, k, k % 3 > 0 AS lv, row_number() OVER (PARTITION BY lane, day, k % 3 > 0 ORDER BY start_us, uri) AS turn FROM rec) SELECT id, CASE WHEN NOT lv THEN 'shadow' WHEN turn > 1 THEN 'full' WHEN k % 4 = 0 THEN 'awaiting_host' ELSE 'spoken' END AS decision FROM t",
     "open_reminders": EV + f" SELECT uri AS id, start_us + {DAY} AS deadline_us, start_us AS spoken_us FROM rec WHERE start_us + {DAY} > {AT} AND k % 2 = 0 AND k % 6 <> 0 ORDER BY 2, 1 LIMIT 25",
     "relabel_delta": EV + ", b AS (SELECT uri, CASE WHEN k % 5 > 0 THEN kind END AS l FROM ev WHERE k % 7 <> 0), a AS (SELECT uri, CASE WHEN k % 4 > 0 THEN kind END AS l FROM ev WHERE k % 11 <> 0) SELECT coalesce(b.uri, a.uri) AS uri, CASE WHEN b.uri IS NULL THEN 'added' WHEN a.uri IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.uri = b.uri WHERE b.uri IS NULL OR a.uri IS NULL OR a.l IS DISTINCT FROM b.l",
@@ -192,4 +192,7 @@ SQL = {
     "resettled_facts": "WITH n AS (SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS now, CAST(min(CASE WHEN l_linenumber % 2 = 1 THEN l_shipdate END) AS DATE) AS was FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(was AS VARCHAR) AS was, CAST(now AS VARCHAR) AS now FROM n WHERE was IS DISTINCT FROM now",
     "orphaned_combinations": EV + ", e AS (SELECT lane, array_to_string(list_sort(list_distinct(list(kind))), '+') AS combo FROM ev GROUP BY lane) SELECT lane, combo FROM e WHERE lane NOT IN (SELECT lane FROM ev WHERE k < 6)",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (thinned_chains, packed_context, title_similarities)}
+SQL["thinned_chains"] = f"""WITH RECURSIVE {S.SQL.strip()}, {DAYS_SQL.strip()}, dd AS (SELECT DISTINCT lane, kind, date_diff('day', DATE '1970-01-01', day) AS day_no FROM eps),
+kept AS (SELECT lane, kind, min(day_no) AS day_no FROM dd GROUP BY 1, 2 UNION ALL SELECT r.lane, r.kind, min(dd.day_no) FROM kept r JOIN dd ON dd.lane = r.lane AND dd.kind = r.kind AND dd.day_no > r.day_no + 5 GROUP BY r.lane, r.kind, r.day_no)
+SELECT lane, kind, day_no FROM kept"""
+QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (packed_context, title_similarities)}

@@ -34,6 +34,12 @@ def relation_tests(spark, d):
     return R.tests(_strata(spark, d))
 
 
+def relation_p_values(spark, d):
+    """Exact chances of at least and at most as many treated positives, and the two-sided p-value, of each relation."""
+    t = R.tests(_strata(spark, d))
+    return t.select("lane", "antecedent", "consequent", "n", *[F.round(F.col(c) + 1e-11, P).alias(c) for c in ("upper", "lower", "p")])
+
+
 def relation_discoveries(spark, d):
     return R.discoveries(R.tests(_strata(spark, d)))
 
@@ -125,4 +131,19 @@ SELECT lane, CAST(week AS INT) AS week, count(CASE WHEN weekend THEN 1 END) AS w
 g AS (SELECT e.lane, e.start_us, isodow(e.day) >= 6 AS weekend, CASE WHEN EXISTS (SELECT 1 FROM rec r WHERE r.lane = e.lane AND r.kind = 'purchase' AND r.start_us < e.start_us AND r.start_us >= e.start_us - 86400000000) THEN true WHEN e.start_us - lane_us < 86400000000 THEN NULL ELSE false END AS recent FROM eps e JOIN fi ON fi.lane = e.lane WHERE kind = 'view')
 SELECT lane, start_us, weekend, recent, weekend AND recent AS both FROM g""",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (relation_tests, relation_discoveries, lane_change_points, state_tests)}
+#: The distribution of each relation's positives: the two-point distributions of its undecided strata, convolved.
+TAILS = """, pb AS (SELECT lane, antecedent, consequent, count(*) AS n, CAST(sum(treated) - count(CASE WHEN p >= 1 THEN 1 END) AS INT) AS hit,
+  list_reduce(list([1 - p, p]) FILTER (WHERE p > 0 AND p < 1), lambda a, b: list_transform(range(1, len(a) + 2), lambda i: coalesce(a[i], 0) * b[1] + coalesce(a[i - 1], 0) * b[2])) AS mass,
+  CASE WHEN count(CASE WHEN p > 0 AND p < 1 THEN 1 END) = 0 THEN 1 ELSE least(1, 2 * least(product(p) FILTER (WHERE p > 0 AND p < 1), product(1 - p) FILTER (WHERE p > 0 AND p < 1))) END AS reach FROM bl GROUP BY 1, 2, 3),
+pv2 AS (SELECT *, CASE WHEN mass IS NULL THEN 1 ELSE least(1, coalesce(list_sum(mass[greatest(hit, 0) + 1:]), 0)) END AS upper, CASE WHEN mass IS NULL THEN 1 ELSE least(1, coalesce(list_sum(mass[:greatest(hit, 0) + 1]), 0)) END AS lower FROM pb),
+ts AS (SELECT *, least(1, 2 * least(upper, lower)) AS p FROM pv2)"""
+SQL |= {
+    "relation_p_values": W + TAILS + f" SELECT lane, antecedent, consequent, n, round(upper + 1e-11, {P}) AS upper, round(lower + 1e-11, {P}) AS lower, round(p + 1e-11, {P}) AS p FROM ts",
+    # the smallest K such that at most K tests reach 0.1 / K; the tests that do; and the step-up rule among them
+    "relation_discoveries": W + TAILS + """, ks AS (SELECT lane, min(K) AS K FROM (SELECT t.lane, K, count(CASE WHEN t.reach <= 0.1 / K THEN 1 END) AS m FROM ts t JOIN (SELECT lane, unnest(range(1, count(*) + 1)) AS K FROM ts GROUP BY lane) c ON c.lane = t.lane GROUP BY 1, 2) WHERE m <= K GROUP BY lane),
+fam AS (SELECT ts.*, ts.reach <= 0.1 / K AS in_family FROM ts JOIN ks ON ks.lane = ts.lane),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY p, antecedent, consequent) AS r, count(*) OVER (PARTITION BY lane) AS m FROM fam WHERE in_family),
+cut AS (SELECT lane, max(r) AS r FROM rk WHERE p <= 0.1 * r / m GROUP BY lane)
+SELECT f.lane, f.antecedent, f.consequent, f.in_family, rk.r IS NOT NULL AND rk.r <= coalesce(cut.r, 0) AS found FROM fam f LEFT JOIN rk ON rk.lane = f.lane AND rk.antecedent = f.antecedent AND rk.consequent = f.consequent LEFT JOIN cut ON cut.lane = f.lane""",
+}
+QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (relation_tests, lane_change_points, state_tests)}

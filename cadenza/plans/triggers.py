@@ -63,4 +63,12 @@ FROM a JOIN p ON p.lane = a.lane AND p.antecedent = a.antecedent WHERE a.a_us >
 sum(length(text)) OVER (PARTITION BY conv_id) AS total, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM conversations),
 s AS (SELECT *, round(2 * semantic + 1 - least(abs(after - 800) / 800.0::DOUBLE, 1.0), 9) AS score FROM m WHERE safe AND total > 1500) SELECT conv_id, arg_max(turn, (score, turn)) AS turn, max(score) AS score FROM s GROUP BY 1""",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (day_expectations, relation_states)}
+SQL["relation_states"] = f"""WITH RECURSIVE {S.SQL.strip()}, n0 AS (SELECT lane, day, sum(k) AS s, count(*) AS c FROM ev GROUP BY 1, 2),
+n1 AS (SELECT lane, CAST(date_diff('day', DATE '1970-01-01', day) AS INT) AS night, c > 1 AS tested, s % 3 = 0 AS significant, CASE WHEN s % 4 > 0 THEN s % 4 > 1 END AS forward, CASE WHEN s % 5 > 0 THEN s % 5 > 2 END AS kept, row_number() OVER (PARTITION BY lane ORDER BY day) AS i FROM n0),
+st AS (SELECT lane, CAST(NULL AS INT) AS night, 0::BIGINT AS i, 'sparse' AS status, 0 AS failed FROM n1 WHERE i = 1
+UNION ALL SELECT n.lane, n.night, n.i, CASE WHEN status = 'candidate' THEN CASE WHEN forward IS NULL THEN status WHEN forward THEN 'established' ELSE 'rejected' END
+ WHEN status = 'established' THEN CASE WHEN kept IS NOT NULL AND NOT kept AND failed + 1 >= 2 THEN 'expired' ELSE status END
+ WHEN tested THEN CASE WHEN significant THEN 'candidate' WHEN status = 'sparse' THEN 'tested' ELSE status END ELSE status END,
+ CASE WHEN status = 'candidate' THEN 0 WHEN status = 'established' THEN CASE WHEN kept IS NULL THEN failed WHEN kept THEN 0 ELSE failed + 1 END ELSE failed END FROM st JOIN n1 n ON n.lane = st.lane AND n.i = st.i + 1)
+SELECT lane, night, status FROM st WHERE i > 0"""
+QUERIES = {n: globals()[n] for n in SQL} | {"day_expectations": day_expectations}

@@ -237,4 +237,24 @@ t AS (SELECT *, CAST(sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT
     "recent_audit": f"WITH {S.SQL.strip()} SELECT uri, start_us FROM ev ORDER BY start_us DESC, uri DESC LIMIT 50",
     "capacity_shares": f"SELECT source, CAST(sum(length(text)) AS BIGINT) AS used, round(sum(length(text)) / 200000, {P}) AS share FROM documents GROUP BY 1",
 }
-QUERIES = {n: globals()[n] for n in SQL} | {f.__name__: f for f in (token_estimates, bigram_similarity, document_chunks)}
+WIDE = f"length(regexp_replace(text, '{X.NOT_WIDE}', '', 'g'))"
+SQL["token_estimates"] = f"SELECT conv_id, turn, CAST(ceil({WIDE} * 1.5 + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) * 2 + (length(text) - {WIDE} - length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) * 0.25) AS BIGINT) AS tokens FROM conversations"
+PLAIN = r"replace(regexp_replace(lower(text), '[\p{P}\p{Z}\s]', '', 'g'), 'ß', 'ss')"
+GRAMS = "CASE WHEN length(t) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END"
+SQL["bigram_similarity"] = f"""WITH a AS (SELECT item_id, {GRAMS} AS a FROM (SELECT item_id, {PLAIN} AS t FROM benchmark)), b AS (SELECT doc_id, {GRAMS} AS b FROM (SELECT doc_id, {PLAIN} AS t FROM documents)),
+c AS (SELECT item_id, doc_id, len(a) AS n, len(b) AS m, len(list_intersect(a, b)) AS c FROM a, b) SELECT item_id, doc_id, round(c / nullif(n + m - c, 0), {P}) AS similarity FROM c"""
+
+
+def _cut(rest: str, size: int) -> str:
+    """SQL for where to cut a text that is over size: after the last of the first mark there is, but not at the start."""
+    tries = []
+    for mark, width in (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("' '", 1)):
+        at = f"strpos(reverse(left({rest}, {size - width + 1})), reverse({mark}))"
+        tries.append(f"WHEN {at} > 0 AND {size - width + 1} - {at} + 1 > {width} THEN {size - width + 1} - {at} + 1")
+    return f"CASE WHEN length({rest}) <= {size} THEN length({rest}) {' '.join(tries)} ELSE {size} END"
+
+
+SQL["document_chunks"] = f"""WITH RECURSIVE c AS (SELECT doc_id, 0::BIGINT AS chunk_no, coalesce(text, '') AS rest, {_cut("coalesce(text, '')", 500)} AS n FROM documents
+UNION ALL SELECT doc_id, chunk_no + 1, substr(rest, n + 1), {_cut('substr(rest, n + 1)', 500)} FROM c WHERE length(rest) > 500)
+SELECT doc_id, chunk_no, CAST(n AS BIGINT) AS n FROM c"""
+QUERIES = {n: globals()[n] for n in SQL}

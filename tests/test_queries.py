@@ -16,12 +16,15 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, sf, name):
     found = oracle.differences(spark, con, sf, QUERIES[name], SQL[name])
-    assert found in (None, "no rows"), found
+    if found == "no rows":  # nothing was compared: the tables of the next size must tell
+        found = oracle.differences(spark, oracle.connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", QUERIES[name], SQL[name])
+    assert found is None, found
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    """Queries that SQL can't express have rows; what is in them is held against brute force and known cases elsewhere."""
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry_has_every_query():
