@@ -20,7 +20,7 @@ from ._spark import documents, table
 
 LENGTH = 1024
 GROUP = 4096
-LONG = 200_000
+PART = 65_536
 PIECES = "doc_id long, row_group long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -32,16 +32,16 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 class Tokens:
     """Token ids of texts as the tokenizers library gives them from a byte-level BPE file. The same vocabulary and pattern
-    run in tiktoken, several times as fast; texts with a special token's string or of great length go to tokenizers."""
+    run in tiktoken, several times as fast, on parts of a text cut before blanks, where the pattern always cuts; texts with a special
+    token's string, and parts without a blank for a great length, go to tokenizers, which is loaded when first needed."""
 
     def __init__(self, path: str):
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self._exact = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(x["content"] for x in spec.get("added_tokens", []))
@@ -53,10 +53,36 @@ class Tokens:
         ranks = {bytes(table[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def exact(self, text: str) -> list[int]:
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> np.ndarray:
-        if len(text) <= LONG and not any(s in text for s in self.special):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(s in text for s in self.special):
+            return np.array(self.exact(text), np.uint32)
+        parts = [np.array(self.fast.encode_ordinary(x) if len(x) <= 2 * PART else self.exact(x), np.uint32) for x in cut(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def cut(text: str, size: int = PART) -> Iterator[str]:
+    """Parts of `size` characters or more that join to the text again, each but the last as short as can be: a part ends where a
+    blank follows something that isn't one."""
+    start = 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        while end < len(text):
+            end = text.find(" ", end)
+            if end < 0:
+                end = len(text)
+            elif not text[end - 1].isspace():
+                break
+            else:
+                end += 1
+        yield text[start:end]
+        start = end
 
 
 class Tree:

@@ -356,6 +356,23 @@ def test_op4_special_strings():
         assert mine.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_op4_long_texts_are_cut_where_tokens_end(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, mine, rng = Tokenizer.from_file(packing.tokenizer_file()), packing.Tokens(packing.tokenizer_file()), random.Random(8)
+    pieces = [" ", "  ", "\n", " \n ", "a", "word", "'s", "'ll", "12", "!?", "é", "𝄞", "\t", "\u3000", "\xa0", "...", "x" * 30, "Ünï"]
+    for size in (1, 5, 40):
+        monkeypatch.setattr(packing, "PART", size)
+        for _ in range(150):
+            x = "".join(rng.choices(pieces, k=rng.randrange(0, 120)))
+            parts = list(packing.cut(x, size))
+            assert "".join(parts) == x and all(len(p) >= size for p in parts[:-1])
+            assert [i for p in parts for i in t.encode(p, add_special_tokens=False).ids] == t.encode(x, add_special_tokens=False).ids
+    monkeypatch.undo()
+    for x in ("word and " * 40_000, "x" * 300_000, ("y" * 150_000 + " z ") * 2):
+        assert mine.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_op4_first_fit():
     rng = random.Random(2)
     lengths = sorted((rng.randrange(1, 101) for _ in range(500)), reverse=True)
