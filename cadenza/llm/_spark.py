@@ -68,9 +68,11 @@ def let(value, body):
 SPLIT, HUBS = 256, 10_000
 
 
-def with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+def with_least(edges: DataFrame, low: DataFrame, split: bool = True) -> DataFrame:
     """edges (a, b) with m, that low (a, m, and d, the number of a's edges) gives for a. The rows of a hub are dealt to as many
-    tasks as it has SPLIT edges: the hubs broadcast are HUBS at most."""
+    tasks as it has SPLIT edges: the hubs broadcast are HUBS at most. Without split, for edges known to have no hub, a plain join."""
+    if not split:
+        return edges.join(low, "a").select("a", "b", "m")
     hubs = F.broadcast(low.orderBy(F.col("d").desc()).limit(HUBS).where(F.col("d") > SPLIT).select("a", F.ceil(F.col("d") / SPLIT).cast("int").alias("parts")))
     left = edges.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("s"))
     right = low.join(hubs, "a", "left").select("a", "m", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("s"))
@@ -81,19 +83,25 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b of one ordered type): node and component, the least node reached.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each is a groupBy with partial minima and a join that
-    splits hubs; no neighbourhood is ever collected. The number of rounds grows with the logarithm of the longest chain. An
-    empty table gives an empty table."""
+    splits hubs where there are any; no neighbourhood is ever collected. The number of rounds grows with the logarithm of the
+    longest chain. An empty table gives an empty table."""
+
+    def told(e: DataFrame):
+        """What tells one round's edges from another's, and the largest number of edges that end in one node."""
+        ends = e.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+        return ends.agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark, degree = None, F.count(F.lit(1)).alias("d")
+    mark, degree = told(e), F.count(F.lit(1)).alias("d")
     while True:
+        split = mark["most"] > 4 * SPLIT
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), degree).select("a", F.least("a", "m").alias("m"), "d")
-        large = with_least(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"), degree))
+        large = with_least(both, low, split).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"), degree), split)
         e = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark == r:
+        before, mark = mark, told(e)
+        if mark == before:
             break
-        mark = r
     tops = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(tops)
