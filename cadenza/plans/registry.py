@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import documents, foresight, more, opportunities, relations, reliability, state, streams, temporal, triggers, vectors
+from cadenza.plans import documents, foresight, more, opportunities, relations, reliability, state, stores, streams, temporal, triggers, vectors
 
-MODULES = (temporal, foresight, relations, reliability, vectors, state, streams, triggers, documents, more, opportunities)
+MODULES = (temporal, foresight, relations, reliability, vectors, state, streams, triggers, documents, more, opportunities, stores)
 
 
 def queries() -> dict:

@@ -180,6 +180,15 @@ def baseline_drift(spark, d):
     return out.withColumn("drifted", F.abs(F.round(F.when(off > 720, off - 1440).otherwise(off), 3)) >= 60).select("lane", "kind", F.round("usual", 9).alias("usual"), F.round("recent", 9).alias("recent"), "drifted")
 
 
+def baseline_durations(spark, d):
+    """Usual minutes of each class over all history and over the last 14 days (medians of three episodes or more), and whether they
+    moved by an hour or more."""
+    e = _eps(spark, d).where("natural").select("lane", "kind", "day", ((F.col("last_us") - F.col("start_us")) / 60_000_000).alias("minutes"))
+    late = F.when(F.col("day") > F.lit("2024-01-16").cast("date"), F.col("minutes"))
+    out = e.groupBy("lane", "kind").agg(F.count("*").alias("n"), F.median("minutes").alias("usual"), F.count(late).alias("n_recent"), F.median(late).alias("recent")).where("n >= 3 and n_recent >= 3")
+    return out.select("lane", "kind", F.round("usual", 6).alias("usual"), F.round("recent", 6).alias("recent"), (F.abs(F.round(F.col("recent") - F.col("usual"), 6)) >= 60).alias("drifted"))
+
+
 def calendar_conditions(spark, d):
     day = F.col("day")
     days = S.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
@@ -299,6 +308,8 @@ SELECT lane, CASE WHEN n < 3 THEN 'undecided' WHEN length > longest AND length >
     "usual_minute": _with(DAYS_SQL, f"mi AS ({MINUTES})", RING.format("mi")) + "SELECT lane, kind, round(usual, 9) AS usual_minute FROM mir",
     "baseline_drift": _with(DAYS_SQL, f"mi0 AS ({MINUTES})", "mi AS (SELECT * FROM mi0 WHERE (lane, kind) IN (SELECT (lane, kind) FROM mi0 GROUP BY lane, kind HAVING count(DISTINCT day) >= 3))", "la0 AS (SELECT * FROM mi0 WHERE day > DATE '2024-01-16')", "la AS (SELECT * FROM la0 WHERE (lane, kind) IN (SELECT (lane, kind) FROM la0 GROUP BY lane, kind HAVING count(DISTINCT day) >= 3))", RING.format("mi"), RING.format("la"))
     + "SELECT a.lane, a.kind, round(a.usual, 9) AS usual, round(b.usual, 9) AS recent, abs(round(CASE WHEN ((b.usual - a.usual) % 1440 + 1440) % 1440 > 720 THEN ((b.usual - a.usual) % 1440 + 1440) % 1440 - 1440 ELSE ((b.usual - a.usual) % 1440 + 1440) % 1440 END, 3)) >= 60 AS drifted FROM mir a JOIN lar b ON a.lane = b.lane AND a.kind = b.kind",
+    "baseline_durations": _with(DAYS_SQL, "du AS (SELECT lane, kind, day, (last_us - start_us) / 60000000.0 AS m FROM eps WHERE \"natural\")", "dm AS (SELECT lane, kind, median(m) AS usual, median(CASE WHEN day > DATE '2024-01-16' THEN m END) AS recent FROM du GROUP BY 1, 2 HAVING count(*) >= 3 AND count(CASE WHEN day > DATE '2024-01-16' THEN 1 END) >= 3)")
+    + "SELECT lane, kind, round(usual, 6) AS usual, round(recent, 6) AS recent, abs(round(recent - usual, 6)) >= 60 AS drifted FROM dm",
     "kind_rhythm_report": _with(DAYS_SQL, PIECES_SQL, DENSITY_SQL)
     + """SELECT n.lane, n.kind, n_days, n_episodes, n_natural, round(days_per_occurrence, 9) AS days_per_occurrence, common_days FROM
 (SELECT lane, kind, count(*) AS n_days, CAST(sum(count) AS BIGINT) AS n_episodes, CAST(sum("natural") AS BIGINT) AS n_natural FROM days GROUP BY lane, kind) n LEFT JOIN dens d ON d.lane = n.lane AND d.kind = n.kind

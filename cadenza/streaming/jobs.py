@@ -7,7 +7,6 @@ watermark: sessions and windows are emitted once it has passed their end.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cadenza.sources import folders
+
 DELAY = "2 hours"
 
 
@@ -61,10 +62,9 @@ def running_accounts(stream: DataFrame, half_life: float = 8.0) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs the stream over all there is now and returns what it wrote. Output and checkpoint lie below the session's
-    checkpoint folder, or a temporary one where none is set."""
+    checkpoint folder."""
     spark = stream.sparkSession
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}" if folder else folders.shared(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
