@@ -38,12 +38,52 @@ def adapted(lines: DataFrame) -> DataFrame:
     meta and unknown lines are passed over, and results whose call isn't there before them."""
     m = lines.select("conv_id", "seq", F.from_json("line", MESSAGE).alias("m")).select("conv_id", "seq", F.col("m.payload.role").alias("role"), F.col("m.payload.text").alias("text"), F.col("m.payload.call_id").alias("call_id"), F.col("m.type").alias("kind"))
     m = m.where((F.col("kind") == "message") & F.col("role").isin(*ROLES)).drop("kind")
+    return _answered(m)
+
+
+def _answered(m: DataFrame) -> DataFrame:
+    """Messages in the engine's roles, without results whose call isn't there before them."""
     w = Window.partitionBy("conv_id", "call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     called = F.coalesce(F.max(F.col("role") == "tool_call").over(w), F.lit(False))
     named = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return m.withColumn("called", called).where((F.col("role") != "tool_result") | F.col("called")).select("conv_id", "seq", F.element_at(named, F.col("role")).alias("role"), "text", "call_id")
 
 
+def _parts(m: DataFrame, parts: Column) -> DataFrame:
+    """A message's parts (role, text, call_id) as messages; their place in it follows its own after a dot. Empty texts go."""
+    each = m.select("conv_id", F.col("seq").alias("line"), F.posexplode(parts).alias("at", "part")).select("conv_id", (F.col("line") * 1000 + F.col("at")).alias("seq"), "part.role", "part.text", "part.call_id")
+    return _answered(each.where(F.col("role").isin(*ROLES) & ((F.col("role") != "user") & (F.col("role") != "assistant") | (F.coalesce("text", F.lit("")) != ""))))
+
+
+def _part(role: Column, text: Column, call: Column) -> Column:
+    return F.struct(role.alias("role"), text.cast("string").alias("text"), call.cast("string").alias("call_id"))
+
+
+def adapted_chat(lines: DataFrame) -> DataFrame:
+    """Messages of a chat completions call (conv_id, seq, line: JSON of role, content, tool_calls, tool_call_id) as messages with
+    the engine's roles: an assistant's text and then its calls, each of name and arguments; answers of tools that were called.
+    System and developer messages are passed over. seq counts 1000 a line and one a part."""
+    kind = "role string, content string, tool_call_id string, tool_calls array<struct<id:string,function:struct<name:string,arguments:string>>>"
+    m = lines.select("conv_id", "seq", F.from_json("line", kind).alias("m"))
+    none, r = F.lit(None).cast("string"), F.col("m.role")
+    own = F.when(r == "tool", _part(F.lit("tool_result"), F.col("m.content"), F.col("m.tool_call_id"))).otherwise(_part(r, F.col("m.content"), none))
+    calls = F.transform(F.coalesce("m.tool_calls", F.array().cast("array<struct<id:string,function:struct<name:string,arguments:string>>>")), lambda c: _part(F.lit("tool_call"), F.concat_ws(" ", c["function"]["name"], c["function"]["arguments"]), c["id"]))
+    return _parts(m.where(r.isin("user", "assistant", "tool")), F.concat(F.array(own), F.when(r == "assistant", calls).otherwise(F.slice(calls, 1, 0))))
+
+
+def adapted_blocks(lines: DataFrame) -> DataFrame:
+    """Messages of content blocks (conv_id, seq, line: JSON of role and content, a list of text, tool_use and tool_result blocks) as
+    messages with the engine's roles, a block each; other blocks are passed over. seq counts 1000 a line and one a block."""
+    kind = "role string, content array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"
+    m = lines.select("conv_id", "seq", F.from_json("line", kind).alias("m")).where(F.col("m.role").isin("user", "assistant"))
+    none = F.lit(None).cast("string")
+    block = lambda c: (
+        F.when(c["type"] == "text", _part(F.col("m.role"), c["text"], none)).when((c["type"] == "tool_use") & (F.col("m.role") == "assistant"), _part(F.lit("tool_call"), F.concat_ws(" ", c["name"], c["input"]), c["id"]))
+        .when((c["type"] == "tool_result") & (F.col("m.role") == "user"), _part(F.lit("tool_result"), c["content"], c["tool_use_id"]))
+    )
+    return _parts(m, F.filter(F.transform("m.content", block), lambda x: x.isNotNull()))
+
+
 def appended(current: Column, added: Column) -> Column:
     """A list field with what is new, in order, without doubles."""
     return F.array_distinct(F.concat(F.coalesce(current, F.array().cast("array<string>")), F.coalesce(added, F.array().cast("array<string>"))))

@@ -29,6 +29,21 @@ def redact(text: Column) -> Column:
     return text
 
 
+# A path goes on to the line's end, a double quote, or a colon before a blank; where it may begin.
+PATH_TAIL = r"(?:(?!:(?:\s|$))[^\"\n])*"
+PATHS = (
+    r"(?im)\bfile://(?:[^/\s]+)?/" + PATH_TAIL, r"(?im)\b(?:smb|nfs|afp)://[^/\s]+/" + PATH_TAIL, r"(?m)(?<![A-Za-z0-9:])//[^/\s]+/" + PATH_TAIL, r"(?m)(?<![A-Za-z0-9])\\\\" + PATH_TAIL,
+    r"(?im)(?<![A-Za-z0-9])[A-Z]:[\\/]" + PATH_TAIL, r"(?m)(?<![A-Za-z0-9/\]])/(?![/\s])" + PATH_TAIL,
+)
+
+
+def redact_paths(text: Column) -> Column:
+    """Absolute paths and file or share addresses of each line as [PATH]; what is said after them stays; blanks are folded."""
+    for pattern in PATHS:
+        text = F.regexp_replace(text, pattern, "[PATH]")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def clean_line(text: Column) -> Column:
     """Characters that don't print become blanks; runs of blanks are one; none at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{C}\p{Z}]", " "), r"\s+", " "))

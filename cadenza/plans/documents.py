@@ -33,6 +33,28 @@ def adapted_messages(spark, d):
     return D.adapted(c.select("conv_id", F.col("turn").alias("seq"), line.alias("line"))).select("conv_id", "seq", "role", F.md5("text").alias("digest"))
 
 
+def adapted_chat_messages(spark, d):
+    """Conversations as calls of chat completions: every third line of an assistant calls a tool, and every user's line that ends
+    a multiple of five characters is a tool's answer to the line before it."""
+    c, even = S.table(spark, d, "conversations"), F.length("text") % 5 == 0
+    role = F.when((F.col("role") == "user") & even, "tool").otherwise(F.col("role"))
+    call = F.array(F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.lit("look").alias("name"), F.lit("{}").alias("arguments")).alias("function")))
+    answer = F.when(role == "tool", (F.col("turn") - 1).cast("string"))
+    line = F.to_json(F.struct(role.alias("role"), F.col("text").alias("content"), answer.alias("tool_call_id"), F.when((role == "assistant") & (F.col("turn") % 3 == 0), call).alias("tool_calls")))
+    return D.adapted_chat(c.select("conv_id", F.col("turn").alias("seq"), line.alias("line"))).select("conv_id", "seq", "role", F.md5("text").alias("digest"), "call_id")
+
+
+def adapted_block_messages(spark, d):
+    """Conversations as content blocks: a text, an image that is passed over, and of an assistant a call of a tool."""
+    c = S.table(spark, d, "conversations")
+    kind = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"
+    none = F.lit(None).cast("string")
+    block = lambda t, **has: F.struct(F.lit(t).alias("type"), *[has.get(n, none).alias(n) for n in ("text", "id", "name", "input", "tool_use_id", "content")])
+    blocks = F.array(block("text", text=F.col("text")), block("image"), block("tool_use", id=F.col("turn").cast("string"), name=F.lit("look"), input=F.lit("{}")), block("tool_result", tool_use_id=(F.col("turn") - 1).cast("string"), content=F.lit("found")))
+    line = F.to_json(F.struct("role", blocks.cast(kind).alias("content")))
+    return D.adapted_blocks(c.select("conv_id", F.col("turn").alias("seq"), line.alias("line"))).select("conv_id", "seq", "role", F.md5("text").alias("digest"), "call_id")
+
+
 def appended_fields(spark, d):
     e = S.events(spark, d).groupBy("lane").agg(F.array_sort(F.collect_set(F.when(F.col("k") < 30, F.col("kind")))).alias("a"), F.array_sort(F.collect_set(F.when(F.col("k") > 60, F.col("kind")))).alias("b"))
     return e.select("lane", F.array_join(D.appended(F.col("a"), F.col("b")), ",").alias("kinds"))
@@ -148,6 +170,15 @@ SQL = {
     "parsed_addresses": "SELECT doc_id, 'memory' AS scheme, lang || '>' || source AS parts, CAST(doc_id AS VARCHAR) AS name, lang = 'en' AND source = 'src1' AS below FROM documents",
     "document_codec": "SELECT doc_id, md5(text) AS body, lang, n_chars FROM documents",
     "adapted_messages": "SELECT conv_id, turn AS seq, CASE role WHEN 'user' THEN 'prompt' ELSE 'completion' END AS role, md5(text) AS digest FROM conversations WHERE role IN ('user', 'assistant')",
+    "adapted_chat_messages": """WITH c AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' AND length(text) % 5 = 0 THEN 'tool' ELSE role END AS role FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'assistant' AND turn % 3 = 0)
+SELECT conv_id, turn * 1000 AS seq, CASE role WHEN 'user' THEN 'prompt' ELSE 'completion' END AS role, md5(text) AS digest, NULL::VARCHAR AS call_id FROM c WHERE role <> 'tool' AND text <> ''
+UNION ALL SELECT conv_id, turn * 1000 + 1, 'call', md5('look {}'), CAST(turn AS VARCHAR) FROM k
+UNION ALL SELECT c.conv_id, c.turn * 1000, 'result', md5(text), CAST(c.turn - 1 AS VARCHAR) FROM c JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn - 1 WHERE role = 'tool'""",
+    "adapted_block_messages": """WITH c AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, turn * 1000 AS seq, CASE role WHEN 'user' THEN 'prompt' ELSE 'completion' END AS role, md5(text) AS digest, NULL::VARCHAR AS call_id FROM c WHERE text <> ''
+UNION ALL SELECT conv_id, turn * 1000 + CASE WHEN role = 'assistant' THEN 1 END, 'call', md5('look {}'), CAST(turn AS VARCHAR) FROM c WHERE role = 'assistant'
+UNION ALL SELECT c.conv_id, c.turn * 1000 + 1, 'result', md5('found'), CAST(c.turn - 1 AS VARCHAR) FROM c JOIN c k ON k.conv_id = c.conv_id AND k.turn = c.turn - 1 AND k.role = 'assistant' WHERE c.role = 'user'""",
     "appended_fields": EV + ", x AS (SELECT lane, kind, min(CASE WHEN k < 30 THEN 0 ELSE 1 END) AS o FROM ev WHERE k < 30 OR k > 60 GROUP BY 1, 2) SELECT l.lane, coalesce((SELECT string_agg(kind, ',' ORDER BY o, kind) FROM x WHERE x.lane = l.lane), '') AS kinds FROM (SELECT DISTINCT lane FROM ev) l",
     "replayed_vocabulary": EV + " SELECT class_id, name, version FROM (SELECT lane % 40 AS class_id, kind || k AS name, uri + 1 AS version, k FROM ev QUALIFY row_number() OVER (PARTITION BY lane % 40 ORDER BY uri DESC) = 1) WHERE k % 6 <> 0",
     "restamped_records": EV + " SELECT uri, CASE WHEN k % 6 = 0 THEN 'new' ELSE kind END AS kind, k % 6 = 0 AS moved FROM rec",

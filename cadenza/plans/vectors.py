@@ -114,6 +114,14 @@ def redacted_documents(spark, d):
     return t.select("doc_id", F.md5("safe").alias("digest"), F.regexp_count("safe", F.lit(r"\[REDACTED\]")).cast("long").alias("n"))
 
 
+def redacted_errors(spark, d):
+    """Messages of errors, one a page, with the path, share or address that each kind names."""
+    at = F.array(*[F.lit(x) for x in ("/var/log/app one.log: denied", "C:\\Users\\a b\\x.txt: gone", "file:///tmp/x y", "smb://host/share/z: busy", "see http://example.org/a", "and/or")])
+    n = F.col("page_id") % 6
+    t = S.table(spark, d, "pages").select("page_id", F.concat(F.lit("cannot  open "), F.element_at(at, (n + 1).cast("int")), F.lit("\n"), F.lit("  at line 3")).alias("t"))
+    return t.select("page_id", X.redact_paths(F.col("t")).alias("safe"))
+
+
 def clean_lines(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.length(X.clean_line(F.col("text"))).alias("n"))
 
@@ -237,6 +245,7 @@ t AS (SELECT *, CAST(sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT
     "recent_audit": f"WITH {S.SQL.strip()} SELECT uri, start_us FROM ev ORDER BY start_us DESC, uri DESC LIMIT 50",
     "capacity_shares": f"SELECT source, CAST(sum(length(text)) AS BIGINT) AS used, round(sum(length(text)) / 200000, {P}) AS share FROM documents GROUP BY 1",
 }
+SQL["redacted_errors"] = """SELECT page_id, (['cannot open [PATH]: denied at line 3', 'cannot open [PATH]: gone at line 3', 'cannot open [PATH] at line 3', 'cannot open [PATH]: busy at line 3', 'cannot open see http://example.org/a at line 3', 'cannot open and/or at line 3'])[page_id % 6 + 1] AS safe FROM pages"""
 WIDE = f"length(regexp_replace(text, '{X.NOT_WIDE}', '', 'g'))"
 SQL["token_estimates"] = f"SELECT conv_id, turn, CAST(ceil({WIDE} * 1.5 + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) * 2 + (length(text) - {WIDE} - length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) * 0.25) AS BIGINT) AS tokens FROM conversations"
 PLAIN = r"replace(regexp_replace(lower(text), '[\p{P}\p{Z}\s]', '', 'g'), 'ß', 'ss')"
