@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.clock import DAY_US
-from cadenza.functions.evidence import beta_quantile
+from cadenza.functions.evidence import beta_quantile_udf
 from cadenza.operators.reliability import folded
 
 ADMITTED = ("candidate", "established")
@@ -110,7 +110,7 @@ def moments(records: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "at_us", "signature", F.col("hit").isNotNull().alias("came"), F.coalesce("hit", "miss").alias("strength"), "n")
 
 
-LAYER = "level string, n_same_set long, n_same_count long, mean double, lower double, upper double"
+LAYER = "level string, n_same_set long, n_same_count long, a double, b double"
 
 
 def unit_readings(past: DataFrame, now: DataFrame, by: list[str], alpha: float = 0.05, half_life: float = 8.0, window: int = 35, prior_share: float = 0.5) -> DataFrame:
@@ -131,21 +131,17 @@ def unit_readings(past: DataFrame, now: DataFrame, by: list[str], alpha: float =
         t = t.sort_values("r", ascending=False).rename(columns={"strength": "weight"})
         parts = {s: t[t["same"] == s] for s in (True, False)}
         n = {s: int(p["total"].iloc[0]) if len(p) else 0 for s, p in parts.items()}
-        read = {s: folded(p, alpha, half_life, window) for s, p in parts.items() if len(p)}
-        if True not in read:
-            r = read[False]
-            row = ["same_count", 0, n[False], r["mean"], r["lower"], r["upper"]]
-        else:
-            a, b = read[True]["k"], read[True]["n"] - read[True]["k"]
-            if False in read:
-                strength = min(prior_share / (1 - 0.5 ** (1 / half_life)), read[False]["n"])
-                a, b = a + strength * read[False]["mean"], b + strength * (1 - read[False]["mean"])
-            a, b = a + 0.5, max(b, 0.0) + 0.5
-            low, high = beta_quantile([alpha, 1 - alpha], a, b)
-            row = ["same_set", n[True], n[True] + n[False], a / (a + b), low, high]
+        read = {s: folded(p, alpha, half_life, window, bounds=False) for s, p in parts.items() if len(p)}
+        own = read.get(True, read.get(False))
+        hit, miss = own["k"], own["n"] - own["k"]
+        if len(read) > 1:
+            strength = min(prior_share / (1 - 0.5 ** (1 / half_life)), read[False]["n"])
+            hit, miss = hit + strength * read[False]["mean"], miss + strength * (1 - read[False]["mean"])
+        row = ["same_set" if True in read else "same_count", n[True], n[True] + n[False], hit + 0.5, max(miss, 0.0) + 0.5]
         return pd.DataFrame([[*k, *row]], columns=[*key, *(x.split()[0] for x in LAYER.split(", "))])
 
     told = j.select(*key, "same", "r", "total", "came", "strength").groupBy(*key).applyInPandas(run, f"{kinds}, now_us long, {LAYER}")
+    told = told.withColumns({"mean": F.col("a") / (F.col("a") + F.col("b")), "lower": beta_quantile_udf(F.lit(alpha), "a", "b"), "upper": beta_quantile_udf(F.lit(1 - alpha), "a", "b")})
     out = u.join(told, key, "left")
     return out.select(*key, F.coalesce("level", F.lit("strongest")).alias("level"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_same_set", "n_same_count")], "mean", "lower", "upper")
 

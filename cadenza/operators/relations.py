@@ -73,6 +73,23 @@ def stable(strat: DataFrame) -> DataFrame:
     return one.groupBy(*KEY).agg((F.bool_and(F.coalesce(F.col("rest") * F.col("whole") > 0, F.lit(False))) & (F.count("*") > 1)).alias("stable"))
 
 
+def p_values(strat: DataFrame, exact_limit: int = 400) -> DataFrame:
+    """Exact one-sided and two-sided p-values of each relation, and the least that its strata could give. A relation's chances are
+    one array; many relations are taken at once."""
+    undecided = F.collect_list(F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("p")))
+    by = blocks(strat).groupBy(*KEY).agg(F.count("*").alias("n"), (F.sum("treated") - F.sum(F.when(F.col("p") >= 1, 1).otherwise(0))).alias("hit"), F.array_sort(undecided).alias("chances"))
+
+    @F.pandas_udf("upper double, lower double, p double, minimum_p double")
+    def tested(hit: pd.Series, chances: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h, c in zip(hit, chances, strict=True):
+            up, low = S.tails([int(h)] + [0] * (len(c) - 1), c, exact_limit) if len(c) else (1.0, 1.0)
+            rows.append((up, low, S.two_sided(up, low), S.minimum_p(c)))
+        return pd.DataFrame(rows, columns=["upper", "lower", "p", "minimum_p"])
+
+    return by.select(*KEY, "n", tested("hit", "chances").alias("t")).select(*KEY, "n", "t.*")
+
+
 TEST = "lane long, antecedent string, consequent string, n long, upper double, lower double, p double, minimum_p double, difference double, low double, high double, heterogeneity double, stable boolean"
 
 

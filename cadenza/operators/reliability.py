@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.evidence import beta_quantile, beta_quantile_udf, decay, lgamma, miss_run_udf
+from cadenza.functions.evidence import beta_quantile, beta_quantile_udf, decay, miss_run_udf
 
 ACCOUNT = ["lane", "kind"]
 
@@ -43,29 +44,27 @@ def miss_run(tallies: DataFrame, run: float = 3.0) -> DataFrame:
     return tallies.withColumn("chance", miss_run_udf("k", "n", F.lit(run)))
 
 
-def folded(moments: pd.DataFrame, alpha: float, half_life: float, window: int) -> dict:
+def folded(moments: pd.DataFrame, alpha: float, half_life: float, window: int, bounds: bool = True) -> dict:
     """Reading of one sequence of moments (came, weight; in order): the last `window`, decayed by rank. Misses at the end
-    whose chance under what was before is below alpha over the effective sample break it: what was before is discounted."""
-    m = moments.tail(window).reset_index(drop=True)
-    size = len(m)
-    w = m["weight"].to_numpy() * 0.5 ** ((size - 1 - m.index.to_numpy()) / half_life)
-    came, start, run = m["came"].to_numpy(bool), size, 0.0
-    for i in range(size - 1, -1, -1):
-        if came[i]:
-            break
-        if m["weight"][i] > 0:
-            start, run = i, run + m["weight"][i]
+    whose chance under what was before is below alpha over the effective sample break it: what was before is discounted. Bounds
+    may be left to `reading`, which takes many at once."""
+    came, weight = moments["came"].to_numpy(bool)[-window:], moments["weight"].to_numpy(float)[-window:]
+    size = len(came)
+    w = weight * 0.5 ** ((size - 1 - np.arange(size)) / half_life)
+    hits = np.flatnonzero(came)
+    tail = np.arange(hits[-1] + 1 if len(hits) else 0, size)
+    tail = tail[weight[tail] > 0]
+    start, run = (int(tail[0]), float(weight[tail].sum())) if len(tail) else (size, 0.0)
     k0, n0, k1, n1 = (w[:start] * came[:start]).sum(), w[:start].sum(), (w[start:] * came[start:]).sum(), w[start:].sum()
     factor = 1.0
     if run > 0 and start > 0:
         a, b = min(k0, n0) + 0.5, n0 - min(k0, n0) + 0.5
-        chance = float(pd.Series(lgamma([b + run, a + b])).sum() - pd.Series(lgamma([b, a + b + run])).sum())
-        chance = float(math.exp(chance))
+        chance = math.exp(math.lgamma(b + run) + math.lgamma(a + b) - math.lgamma(b) - math.lgamma(a + b + run))
         line = alpha / max(n0, 1.0)
         factor = chance / line if chance < line else 1.0
     k, n = min(k0 * factor + k1, n0 * factor + n1), n0 * factor + n1
-    low, high = beta_quantile([alpha, 1 - alpha], k + 0.5, n - k + 0.5)
-    return {"k": k, "n": n, "mean": (k + 0.5) / (n + 1), "lower": low, "upper": high, "discount": factor, "count": size}
+    told = {"k": k, "n": n, "mean": (k + 0.5) / (n + 1), "discount": factor, "count": size}
+    return told | (dict(zip(("lower", "upper"), beta_quantile([alpha, 1 - alpha], k + 0.5, n - k + 0.5), strict=True)) if bounds else {})
 
 
 def edge_readings(moments: DataFrame, by: list[str], alpha: float = 0.05, half_life: float = 8.0, window: int = 35) -> DataFrame:
@@ -75,9 +74,11 @@ def edge_readings(moments: DataFrame, by: list[str], alpha: float = 0.05, half_l
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["at_us", "uri"])
-        return pd.DataFrame([dict(zip(by, key, strict=True)) | folded(t, alpha, half_life, window)])
+        got = folded(t, alpha, half_life, window, bounds=False)
+        return pd.DataFrame([dict(zip(by, key, strict=True)) | {c: got[c] for c in ("k", "n", "discount", "count")}])
 
-    return recent.groupBy(*by).applyInPandas(run, f"{kinds}, k double, n double, mean double, lower double, upper double, discount double, count long")
+    out = recent.groupBy(*by).applyInPandas(run, f"{kinds}, k double, n double, discount double, count long")
+    return reading(out, alpha).select(*by, "k", "n", "mean", "lower", "upper", "discount", "count")
 
 
 def first_in_range(items: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:

@@ -36,12 +36,12 @@ def relation_tests(spark, d):
 
 def relation_p_values(spark, d):
     """Exact chances of at least and at most as many treated positives, and the two-sided p-value, of each relation."""
-    t = R.tests(_strata(spark, d))
+    t = R.p_values(_strata(spark, d))
     return t.select("lane", "antecedent", "consequent", "n", *[F.round(F.col(c) + 1e-11, P).alias(c) for c in ("upper", "lower", "p")])
 
 
 def relation_discoveries(spark, d):
-    return R.discoveries(R.tests(_strata(spark, d)))
+    return R.discoveries(R.p_values(_strata(spark, d)))
 
 
 def candidate_relations(spark, d):
