@@ -1,8 +1,9 @@
 """Structured Streaming forms of the event operators.
 
 Each takes a streaming DataFrame of events (event_id, ts, user_id, event_type, value, props) with ts as a timestamp, and
-returns a streaming DataFrame; `drained` runs one to the end of what is there and returns its rows. State is bounded by the
-watermark: sessions and windows are emitted once it has passed their end.
+returns a streaming DataFrame; `drained` runs one to the end of what is there and returns its rows. State of sessions,
+windows and deliveries is bounded by the watermark: they are emitted, or forgotten, once it has passed their end. Running accounts
+keep three numbers a class for good, and take a class's rows in the order of their batches.
 """
 
 from __future__ import annotations
