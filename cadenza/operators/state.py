@@ -11,11 +11,16 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 
+def padded(number: Column) -> Column:
+    """A number with four digits at least, and all that it has (lpad would cut it to four)."""
+    text = number.cast("string")
+    return F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
+
+
 def class_id(token: Column) -> Column:
-    """The number of a class token such as s-k0007 if it is written canonically, else null."""
-    n = F.regexp_extract(token, r"^([a-z])-k(\d{4,})$", 2)
-    again = F.concat(F.substring(token, 1, 1), F.lit("-k"), F.lpad(n.cast("long").cast("string"), 4, "0"))
-    return F.when((n != "") & (token == F.when(n != "", again)), F.when(n != "", n).cast("long"))
+    """The number of a class token such as s-k0007 if it is written canonically, else null; null too beyond a long."""
+    n = F.regexp_extract(token, r"^([a-z])-k(\d{4,})$", 2).try_cast("long")
+    return F.when(token == F.concat(F.substring(token, 1, 1), F.lit("-k"), padded(n)), n)
 
 
 def promoted(pool: DataFrame, key: list[str], min_count: int = 2, min_days: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ HORIZON = 1_706_400_000_000_000
 
 
 def class_tokens(spark, d):
-    p = S.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("s-k"), F.col("p_partkey"))).otherwise(F.concat(F.lit("s-k"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"))).alias("token"))
+    p = S.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("s-k"), F.col("p_partkey"))).otherwise(F.concat(F.lit("s-k"), T.padded(F.col("p_partkey")))).alias("token"))
     return p.select("p_partkey", T.class_id(F.col("token")).alias("number"))
 
 
