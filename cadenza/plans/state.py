@@ -129,7 +129,7 @@ def canonical_props(spark, d):
 def dirty_days(spark, d):
     """Days whose records differ between two states of the log: what has to be written again."""
     e = S.events(spark, d)
-    sums = lambda x: x.groupBy("day").agg(F.count("*").alias("n"), F.sum("start_us").alias("s"))
+    sums = lambda x: x.groupBy("day").agg(F.count("*").alias("n"), F.sum(F.col("start_us").cast("decimal(20,0)")).alias("s"))  # noqa: E731  # a day's sum passes a long at some 5,400 rows
     a, b = sums(e.where("uri % 499 <> 0")), sums(e)
     return b.exceptAll(a).select(F.col("day").cast("string").alias("day"))
 

@@ -31,3 +31,11 @@ def test_class_tokens_of_five_digits_and_more(spark, folder):
     tokens = ["s-k0007", "s-k12345", "s-k012345", "s-k7", "s-k99999999999999999999", "s-k0000", "x", "", None]
     df = spark.createDataFrame([(t,) for t in tokens], "t string").select(state.class_id(F.col("t")).alias("n"))
     assert [r["n"] for r in df.collect()] == [7, 12345, None, None, None, 0, None, None, None]
+
+
+EVENTS = """SELECT i AS event_id, CAST(TIMESTAMP '2024-01-01' + to_microseconds(CAST({at} AS BIGINT)) AS TIMESTAMP) AS ts, CAST({lane} AS BIGINT) AS user_id,
+['view', 'click', 'purchase', 'signup'][1 + i % 4] AS event_type, CAST(i % 50 AS DOUBLE) AS value, '{{"k": ' || {k} || '}}' AS props FROM range({n}) t(i)"""
+
+
+def test_dirty_days_of_many_rows(spark, folder):
+    same(spark, folder("events", EVENTS.format(at="i * 11000000", lane="i % 20", k="i % 100", n=12000)), "dirty_days")
