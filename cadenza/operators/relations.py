@@ -73,7 +73,7 @@ def stable(strat: DataFrame) -> DataFrame:
     return one.groupBy(*KEY).agg((F.bool_and(F.coalesce(F.col("rest") * F.col("whole") > 0, F.lit(False))) & (F.count("*") > 1)).alias("stable"))
 
 
-def p_values(strat: DataFrame, exact_limit: int = 400) -> DataFrame:
+def p_values(strat: DataFrame, exact_limit: int = 1 << 62) -> DataFrame:
     """Exact one-sided and two-sided p-values of each relation, and the least that its strata could give. A relation's chances are
     one array; many relations are taken at once."""
     undecided = F.collect_list(F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("p")))
