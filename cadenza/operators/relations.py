@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,15 +97,26 @@ TEST = "lane long, antecedent string, consequent string, n long, upper double, l
 def tests(strat: DataFrame, exact_limit: int = 400) -> DataFrame:
     """Exact p-values, a block bootstrap (seeded by the relation's name) and homogeneity of each relation."""
 
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("a_us")
-        up, low = S.tails(t["treated"], t["p"], exact_limit)
-        seed = int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:16], 16)
-        (a, b), _ = S.bootstrap(t["treated"], t["rate"], t["block"], rounds=400, seed=seed)
-        row = [*key, len(t), up, low, S.two_sided(up, low), S.minimum_p(t["p"]), S.difference(t["treated"], t["rate"]), a, b, S.heterogeneity(t["treated"], t["p"], t["block"]), S.stable_without_any_block(t["treated"], t["rate"], t["block"])]
-        return pd.DataFrame([row], columns=[x.split()[0] for x in TEST.split(", ")])
-
-    return blocks(strat).groupBy(*KEY).applyInPandas(run, TEST)
+    def run(batches):
+        names = [x.split()[0] for x in TEST.split(", ")]
+        for t in batches:
+            keys, strata = zip(*(t.column(c).to_pylist() for c in KEY), strict=True), t.column("strata")
+            treated, p, rate, block = (strata.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("treated", "p", "rate", "block"))
+            at, rows = strata.offsets.to_numpy() - strata.offsets[0].as_py(), []
+            for key, lo, hi in zip(keys, at[:-1], at[1:], strict=True):
+                x, c, r, b = treated[lo:hi], p[lo:hi], rate[lo:hi], block[lo:hi]
+                up, low = S.tails(x, c, exact_limit)
+                seed = int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:16], 16)
+                least, most = S.bootstrap(x, r, b, rounds=400, seed=seed)[0]
+                rows.append((*key, len(x), up, low, S.two_sided(up, low), S.minimum_p(c), S.difference(x, r), least, most, S.heterogeneity(x, c, b), S.stable_without_any_block(x, r, b)))
+            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[x.split()[1]]) for v, x in zip(zip(*rows, strict=True), TEST.split(", "), strict=True)], names=names)
+
+    # a relation's strata are one array. So many parts are asked for by number: by size a few megabytes would be one task's
+    by = blocks(strat).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a_us", F.col("treated").cast("long").alias("treated"), "p", "rate", "block"))).alias("strata"))
+    spark = strat.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return by.repartition(parts, *KEY).mapInArrow(run, TEST)
 
 
 def discoveries(tested: DataFrame, q: float = 0.1) -> DataFrame:

@@ -61,3 +61,15 @@ def test_p_values_of_long_histories_are_exact(spark):
         mass = [(mass[i] if i < len(mass) else 0) * (1 - c) + (mass[i - 1] * c if i else 0) for i in range(len(mass) + 1)]
     hit = sum(r[5] for r in rows) - sum(c >= 1 for c in chances)
     assert len(mass) > 401 and got["upper"] == pytest.approx(sum(mass[hit:]), rel=1e-9) and got["lower"] == pytest.approx(sum(mass[: hit + 1]), rel=1e-9)
+
+
+def test_draws_are_those_of_the_generator():
+    for below in (1, 2, 3, 5, 8, 31):
+        own = random.Random(below + 7)
+        assert S.draws(below + 7, below, 900).tolist() == [own.randrange(below) for _ in range(900)]
+
+
+def test_relation_tests_are_spread_over_tasks(spark, sf):
+    """A few megabytes of strata were one task's, whatever they cost."""
+    out = QUERIES["relation_tests"](spark, sf)
+    assert out.select("lane", F.spark_partition_id().alias("i")).groupBy("i").count().count() > 4
