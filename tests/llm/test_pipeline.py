@@ -72,6 +72,22 @@ def test_near_copies_of_odd_rows(spark):
     assert got.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in rows(got)) == firsts(data)
 
 
+
+def test_a_large_group_takes_few_jobs(spark):
+    """The links of a group over a block of classes were joined by rounds, as those of the groups themselves: over 140 jobs, whose
+    stages and plans take the driver's memory."""
+    near = [f"w{i}" for i in range(100)]
+    data = [(i, " ".join([*near[: i % 100], f"x{i}", *near[i % 100 + 1 :]])) for i in range(1100)] + [(2000, "other")]
+    sc = spark.sparkContext
+    sc.setJobGroup("large", "")
+    try:
+        got = jaccard.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert sorted(r["doc_id"] for r in got) == [0, 2000]
+        assert len(sc.statusTracker().getJobIdsForGroup("large")) <= 110
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_repeats(tables):
     before, after = rows(tables[2]), rows(tables[3])
     kept = Counter()
